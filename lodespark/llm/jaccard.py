@@ -5,15 +5,17 @@ one n-gram of all its words, an empty one is the empty set and matches nothing).
 collisions and has no cap on partners:
 
 1. Tokens that a batch of documents holds often are collected; they come last in the global token order (hot, hash).
-   Any order is correct; this one keeps passages that many documents share out of the prefixes. Their number is bounded
-   by the tokens of a document over HOT_RATE, whatever the corpus.
-2. A document's group is its first token in that order, so copies tend to share a group. The token-group matrix holds,
-   for each prefix token, the groups having it, with the sizes of their members. It is cut into buckets of tokens; a
-   bucket sees documents and groups together, so one shuffle of packed postings builds and probes it. A pair with
-   Jaccard >= t shares a token of its prefixes, so a document can only match groups that its prefix meets.
-3. Each (document, group) so met gets the whole token sets. The group's token union bounds the overlap of a document
-   from another group; only if the bound reaches the threshold is the group opened and the members compared, by
-   products of 0/1 matrices.
+   Any order is correct; this one keeps passages that many documents share out of the prefixes. At most HOT_TOKENS, the
+   most frequent, are kept, as they are broadcast; that changes only how many documents are looked at, not the result.
+2. A document's group is the first token of its prefix that another document of the batch has too (the very first, if
+   there is none), so copies tend to share a group. The token-group matrix holds, for each prefix token, the groups
+   having it, with the sizes of their members. It is cut into buckets of tokens; a bucket sees documents and groups
+   together, so one shuffle of packed postings builds and probes it. A pair with Jaccard >= t shares a token of its
+   prefixes, so a document can only match groups that its prefix meets; and at the first token that they share, the
+   tokens that are left to both must still reach the overlap that t asks for.
+3. Each group's token union is kept as a bitmap of hashed tokens, four bits a token. A document's bits outside the union
+   bound its overlap with the group from above; where the bound falls short, the group stays shut.
+4. Opened groups get the whole token sets and are compared by products of 0/1 matrices.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from pyspark.sql import functions as F
 from lodespark.llm.common import cut, docs_of, small
 from lodespark.llm.textkernel import chunks, inside, mix, ngrams, words
 
-N_WORDS = 3
-THRESHOLD = 0.5
-HOT_RATE = 3e-4
-HOT_DF = 64
+N_WORDS = 5
+THRESHOLD = 0.4
+HOT_RATE = 2e-4
+HOT_DF = 16
+HOT_TOKENS = 4_000_000
 _BITS = 40
 _MASK = (1 << _BITS) - 1
 
@@ -70,10 +73,10 @@ def _hot_tokens(docs: DataFrame, n: int) -> np.ndarray:
             tok.sort()
             at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
             c = np.diff(np.append(at, len(tok)))
-            keep = c >= max(3, HOT_RATE * b.num_rows)
+            keep = c >= max(2, HOT_RATE * b.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(tok[at][keep].astype(np.int64)), pa.array(c[keep].astype(np.int64))], ["token", "c"])
 
-    hot = docs.select("text").mapInArrow(local, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= HOT_DF).select("token")
+    hot = docs.select("text").mapInArrow(local, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= HOT_DF).orderBy(F.desc("c"), "token").limit(HOT_TOKENS).select("token")
     got = hot.toArrow().column(0).to_numpy()
     return np.sort(got.astype(np.uint64))
 
@@ -86,6 +89,9 @@ def _is_hot(tok: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[at] == tok
 
 
+_LOG = np.log(2) / 16  # sizes are kept rounded down to powers of 2 ** (1 / 16), the share of tokens left rounded up
+
+
 def _pack(ids: np.ndarray, *cols: np.ndarray) -> bytes:
     base = int(ids.min())
     wide = int(ids.max()) - base >= 2**32
@@ -93,69 +99,81 @@ def _pack(ids: np.ndarray, *cols: np.ndarray) -> bytes:
     return b"".join([head.tobytes(), (ids - base).astype(np.int64 if wide else np.uint32).tobytes(), *[c.tobytes() for c in cols]])
 
 
-def _unpack(blob: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob) -> list[np.ndarray]:
     n, base, wide = (int(x) for x in np.frombuffer(blob, np.int64, 3))
-    at = 24
-    ids = np.frombuffer(blob, np.int64 if wide else np.uint32, n, at).astype(np.int64) + base
-    at += n * (8 if wide else 4)
-    tok = np.frombuffer(blob, np.uint32, n, at)
-    grp = np.frombuffer(blob, np.uint32, n, at + 4 * n)
-    size = np.frombuffer(blob, np.uint16, n, at + 8 * n)
-    return ids, tok, grp, size
+    out, at = [], 24
+    for kind in (np.int64 if wide else np.uint32, np.uint32, np.uint32, np.uint8, np.uint8):
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    out[0] = out[0].astype(np.int64) + base
+    return out
 
 
 def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
-    """Packed prefix postings (document, token, group, size) by bucket of tokens."""
+    """Packed prefix postings (document, token, group, size, share of tokens left) by bucket of tokens."""
 
     def run(batches):
         heavy = hot.value
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            cols = [[], [], [], []]
+            cols: list[list] = [[], [], [], []]
             for first, off, tok in token_sets(b.column("text"), n):
                 size = np.diff(off)
                 who = np.repeat(np.arange(len(size)), size)
                 late = _is_hot(tok, heavy)
                 if late.any():
-                    order = np.argsort((who.astype(np.int64) << 1) | late, kind="stable")
-                    tok = tok[order]
+                    tok = tok[np.argsort((who.astype(np.int64) << 1) | late, kind="stable")]
                 rank = np.arange(len(tok)) - off[:-1][who]
                 take = rank < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[who]
-                group = np.zeros(len(size), np.uint64)
-                some = size > 0
-                group[some] = mix(tok[off[:-1][some]]) & np.uint64(0xFFFFFFFF)
                 who = who[take]
-                for c, v in zip(cols, (ids[first + who], tok[take], group[who].astype(np.uint32), np.minimum(size, 65535)[who].astype(np.uint16)), strict=True):
+                left = np.ceil((size[who] - rank[take]) * (255 / size[who])).astype(np.uint8)
+                level = np.minimum(255, np.floor(np.log(np.maximum(1, size)) / _LOG + 1e-9)).astype(np.uint8)
+                for c, v in zip(cols, (first + who, tok[take], level[who], left), strict=True):
                     c.append(v)
             if not cols[0] or not sum(map(len, cols[0])):
                 continue
-            rep, tok, grp, size = (np.concatenate(c) for c in cols)
+            row, tok, level, left = (np.concatenate(c) for c in cols)
+            key = np.sort(tok)
+            common = key[1:][key[1:] == key[:-1]]
+            at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            lead = np.where(_is_hot(tok, common[np.concatenate([[True], common[1:] != common[:-1]])] if len(common) else common), np.arange(len(tok)), len(tok))
+            lead = np.minimum.reduceat(lead, at)
+            lead = np.where(lead == len(tok), at, lead)
+            grp = np.repeat((mix(tok[lead]) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(at, len(row))))
+            rep = ids[row]
             bucket = (tok >> np.uint64(_BITS - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            rep, tok, grp, size, bucket = rep[order], (tok[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), grp[order], size[order], bucket[order]
+            rep, tok, grp, level, left, bucket = rep[order], (tok[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), grp[order], level[order], left[order], bucket[order]
             at = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-            blobs = [_pack(rep[i:j], tok[i:j], grp[i:j], size[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            blobs = [_pack(rep[i:j], tok[i:j], grp[i:j], level[i:j], left[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return docs.mapInArrow(run, "bucket long, blob binary")
 
 
-def _meet(rep, tok, grp, size, t: float, room: int = 1 << 21):
+def _meet(rep, tok, grp, level, left, t: float, room: int = 1 << 21):
     """Rows (document, group, role) of one bucket: role 1, a member to look at; 2, a document from a lower group."""
-    order = np.lexsort((grp, tok))
-    rep, tok, grp, size = rep[order], tok[order], grp[order], size[order].astype(np.int64)
+    low = tok & np.uint32((1 << 20) - 1)
+    many = np.bincount(low, minlength=1 << 20)[low] > 1  # most tokens occur once
+    rep, tok, grp, level, left = rep[many], tok[many], grp[many], level[many], left[many]
+    order = np.argsort((tok.astype(np.uint64) << np.uint64(32)) | grp, kind="stable")
+    rep, tok, grp, level, left = rep[order], tok[order], grp[order], level[order], left[order]
+    if not len(rep):
+        return
     new = np.concatenate([[True], tok[1:] != tok[:-1]])
     run = np.cumsum(new) - 1
     many = np.bincount(run)[run] > 1
-    rep, tok, grp, size = rep[many], tok[many], grp[many], size[many]
+    rep, tok, grp, level, left = rep[many], tok[many], grp[many], level[many], left[many]
     if not len(rep):
         return
+    size = np.floor(np.exp(level * _LOG)).astype(np.int64)
+    most = np.where(level == 255, 1 << 60, np.ceil(np.exp((level + 1.0) * _LOG)).astype(np.int64))
+    rest = np.ceil(left * (most / 255.0))  # tokens left, this one included, at most
     first = np.concatenate([[True], (tok[1:] != tok[:-1]) | (grp[1:] != grp[:-1])])
     cell = np.cumsum(first) - 1
     at = np.flatnonzero(first)
     members = np.diff(np.append(at, len(rep)))
-    lo, hi = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at)
-    hi = np.where(hi == 65535, 1 << 62, hi)
+    lo, hi, far = np.minimum.reduceat(size, at), np.maximum.reduceat(most, at), np.maximum.reduceat(rest, at)
     cell_tok, cell_grp = tok[at], grp[at]
     seen = members > 1
     new = np.concatenate([[True], cell_tok[1:] != cell_tok[:-1]])
@@ -170,8 +188,8 @@ def _meet(rep, tok, grp, size, t: float, room: int = 1 << 21):
         if len(who):
             e = np.cumsum(c)
             to = np.arange(len(who)) - np.repeat(e - c, c) + cell[who] + 1
-            s = size[who]
-            ok = (s * t <= hi[to]) & ((lo[to] * t <= s) | (s == 65535))
+            ok = (size[who] * t <= hi[to]) & (lo[to] * t <= most[who])
+            ok &= np.minimum(rest[who], far[to]) * (1 + t) >= t * (size[who] + lo[to]) - 1e-6
             who, to = who[ok], to[ok]
             seen[to] = True
             pair = np.unique(np.stack([rep[who], cell_grp[to].astype(np.int64)]), axis=1) if len(who) else np.zeros((2, 0), np.int64)
@@ -205,6 +223,86 @@ def _met(posts: DataFrame, t: float) -> DataFrame:
     return posts.repartition("bucket").mapInArrow(run, "doc_id long, grp long, role long").distinct()
 
 
+def _bitmaps(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, size and a bitmap of each document's token set."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            for first, off, tok in token_sets(b.column("text"), n):
+                size = np.diff(off)
+                some = np.flatnonzero(size)
+                maps = []
+                for i in some:
+                    width = max(64, 1 << int(4 * size[i] - 1).bit_length())
+                    bits = np.zeros(width, np.uint8)
+                    bits[tok[off[i] : off[i + 1]] & np.uint64(width - 1)] = 1
+                    maps.append(np.packbits(bits).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + some]), pa.array(size[some]), pa.array(maps, pa.binary())], ["doc_id", "size", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, bits binary")
+
+
+def _fold(bits: np.ndarray, words_: int) -> np.ndarray:
+    """A bitmap of packed tokens made narrower: bit i of the result is set if a bit equal to i modulo its width is."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words_), axis=0) if len(bits) > words_ else bits
+
+
+def _outside(q: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
+    """At least how many tokens of each q aren't in each m."""
+    out = np.zeros((len(q), len(m)), np.int64)
+    widths = np.array([len(x) for x in m])
+    for i, x in enumerate(q):
+        for w in np.unique(widths):
+            k, at = min(int(w), len(x)), np.flatnonzero(widths == w)
+            a = _fold(x, k)
+            out[i, at] = [int(np.bitwise_count(a & ~_fold(m[j], k)).sum()) for j in at] if w > k else np.bitwise_count(a & ~np.stack([m[j] for j in at])).sum(axis=1)
+    return out
+
+
+def _shut(rows: DataFrame, t: float) -> DataFrame:
+    """The cells whose groups are to be opened, and the members to open them for."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            grp, role, ids, size = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(4)]
+            order = np.argsort(grp, kind="stable")
+            at = np.append(np.flatnonzero(np.concatenate([[True], np.diff(grp[order]) != 0])), len(order))
+            keep = np.zeros(len(grp), bool)
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                if j - i < 2:
+                    continue
+                o = order[i:j]
+                mem, ask = o[role[o] == 1], o[role[o] == 2]
+                if not len(mem):
+                    continue
+                if len(mem) > 1:
+                    keep[mem] = True
+                if len(ask):
+                    w = min(len(bits[k]) for k in mem)
+                    union = np.bitwise_or.reduce([_fold(bits[k], w) for k in mem])
+                    most = size[ask] - _outside([bits[k] for k in ask], [union])[:, 0]
+                    ask = ask[most * (1 + t) >= t * (size[ask] + size[mem].min()) - 1e-9]
+                for k in range(0, len(ask), 256):
+                    some = ask[k : k + 256]
+                    q, m = [bits[x] for x in some], [bits[x] for x in mem]
+                    most = np.minimum(size[some][:, None] - _outside(q, m), size[mem][None, :] - _outside(m, q).T)
+                    ok = most * (1 + t) >= t * (size[some][:, None] + size[mem][None, :]) - 1e-9
+                    keep[some[ok.any(axis=1)]] = True
+                    keep[mem[ok.any(axis=0)]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(grp[keep]), pa.array(role[keep])], ["doc_id", "grp", "role"])
+
+    def whole(batches):
+        rows_ = [b for b in batches if b.num_rows]
+        if rows_:
+            yield from run([pa.Table.from_batches(rows_).combine_chunks().to_batches()[0]])
+
+    return rows.select("grp", "role", "doc_id", "size", "bits").repartition("grp").mapInArrow(whole, "doc_id long, grp long, role long")
+
+
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray], block: int = 512, width: int = 8192) -> np.ndarray:
     """|x & y| for each x of a and y of b."""
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -265,8 +363,8 @@ def _verify(docs: DataFrame, met: DataFrame, n: int, t: float) -> DataFrame:
     def sets(batches):
         for b in batches:
             ids, cells = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("cells").to_pylist()
-            rows: list[list] = [[], [], []]
             for first, off, tok in token_sets(b.column("text"), n):
+                rows: list[list] = [[], [], []]
                 low, high = tok.astype(np.uint32), (tok >> np.uint64(32)).astype(np.uint8)
                 for i in range(len(off) - 1):
                     blob = low[off[i] : off[i + 1]].tobytes() + high[off[i] : off[i + 1]].tobytes()
@@ -274,7 +372,7 @@ def _verify(docs: DataFrame, met: DataFrame, n: int, t: float) -> DataFrame:
                         rows[0].append(c)
                         rows[1].append(ids[first + i])
                         rows[2].append(blob)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(rows[0], np.int64) >> 2), pa.array(np.array(rows[0], np.int64) & 3), pa.array(np.array(rows[1], np.int64)), pa.array(rows[2], pa.binary())], ["grp", "role", "doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(rows[0], np.int64) >> 2), pa.array(np.array(rows[0], np.int64) & 3), pa.array(np.array(rows[1], np.int64)), pa.array(rows[2], pa.binary())], ["grp", "role", "doc_id", "tokens"])
 
     def pairs(batches):
         rows = [b for b in batches if b.num_rows]
@@ -320,6 +418,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOL
     hot = spark.sparkContext.broadcast(_hot_tokens(docs, n))
     bits = min(16, max(8, int(np.ceil(np.log2(8 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))))))
     met = cut(_met(_postings(docs, n, threshold, bits, hot), threshold))
+    met = cut(_shut(met.join(_bitmaps(docs, n), "doc_id"), threshold))
     return _verify(docs, met, n, threshold).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
