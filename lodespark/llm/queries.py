@@ -105,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op2_benchmark_decontamination": LEAKS_SQL,
+    "op4_bounded_ring": ring.assign_sql(),
     "op6_ngram_jaccard_join": JACCARD_SQL,
     "op8_licence_scan": licences.scan_sql(),
     "op9_substring_dedup": SUBSTRING_SQL,

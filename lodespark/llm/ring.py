@@ -109,3 +109,25 @@ def brute_force(ids: list[int], shards: int, nodes: int, capacity: str = CAPACIT
         out[k] = at[i % len(at)][1]
         load[out[k]] += 1
     return out
+
+
+def assign_sql(shards: int = SHARDS, nodes: int = NODES, capacity: str = CAPACITY) -> str:
+    """DuckDB SQL for the rows of assign(): one recursive step for each meeting of an arc's keys with a node."""
+    hexed = lambda x: f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
+    num, den = Fraction(capacity).as_integer_ratio()
+    return f"""
+WITH RECURSIVE ring AS (SELECT (row_number() OVER (ORDER BY place, shard) - 1)::BIGINT AS arc, place, shard FROM (SELECT {hexed("'shard-' || s || '#' || v")} AS place, s AS shard FROM range({shards}) a(s), range({nodes}) b(v))),
+keys AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT doc_id, {hexed("doc_id::VARCHAR")} AS place FROM keys),
+k AS (SELECT doc_id, p.place, coalesce(arc, 0) AS arc FROM p ASOF LEFT JOIN ring ON p.place <= ring.place),
+r AS (SELECT doc_id, arc, row_number() OVER (PARTITION BY arc ORDER BY place, doc_id) - 1 AS rank FROM k),
+c AS (SELECT list(coalesce(n, 0) ORDER BY arc) AS cnt, list(shard ORDER BY arc) AS node FROM ring LEFT JOIN (SELECT arc, count(*) AS n FROM k GROUP BY arc) USING (arc)),
+cap AS (SELECT ((count(*) * {num} + {den * shards} - 1) // {den * shards})::BIGINT AS cap FROM keys),
+walk AS (
+SELECT 0::BIGINT AS arc, 0::BIGINT AS k, cnt[1]::BIGINT AS left_, 0::BIGINT AS rank, list_transform(range({shards}), lambda i: cap) AS room, NULL::BIGINT AS shard, 0::BIGINT AS lo FROM c, cap
+UNION ALL
+SELECT CASE WHEN left_ = 0 THEN arc + 1 ELSE arc END, CASE WHEN left_ = 0 THEN 0 ELSE k + 1 END, CASE WHEN left_ = 0 THEN cnt[arc + 2] ELSE left_ - t END, CASE WHEN left_ = 0 THEN 0 ELSE rank + t END,
+CASE WHEN left_ = 0 THEN room ELSE list_concat(room[1:s], [room[s + 1] - t], room[s + 2:]) END, CASE WHEN left_ > 0 THEN s END, rank
+FROM (SELECT walk.*, cnt, node[(arc + k) % {shards * nodes} + 1] AS s, least(left_, room[node[(arc + k) % {shards * nodes} + 1] + 1]) AS t FROM walk, c) WHERE arc < {shards * nodes - 1} OR left_ > 0)
+SELECT doc_id, ring.shard AS home, walk.shard FROM r JOIN ring USING (arc) JOIN walk ON walk.arc = r.arc AND walk.shard IS NOT NULL AND r.rank >= walk.lo AND r.rank < walk.rank
+"""
