@@ -248,15 +248,18 @@ def _fold(bits: np.ndarray, words_: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, words_), axis=0) if len(bits) > words_ else bits
 
 
-def _outside(q: list[np.ndarray], m: list[np.ndarray]) -> np.ndarray:
+def _outside(q: list[np.ndarray], m: list[np.ndarray], room: int = 1 << 21) -> np.ndarray:
     """At least how many tokens of each q aren't in each m."""
     out = np.zeros((len(q), len(m)), np.int64)
-    widths = np.array([len(x) for x in m])
-    for i, x in enumerate(q):
-        for w in np.unique(widths):
-            k, at = min(int(w), len(x)), np.flatnonzero(widths == w)
-            a = _fold(x, k)
-            out[i, at] = [int(np.bitwise_count(a & ~_fold(m[j], k)).sum()) for j in at] if w > k else np.bitwise_count(a & ~np.stack([m[j] for j in at])).sum(axis=1)
+    wq, wm = np.array([len(x) for x in q]), np.array([len(x) for x in m])
+    for a in np.unique(wq):
+        i = np.flatnonzero(wq == a)
+        for b in np.unique(wm):
+            j, w = np.flatnonzero(wm == b), int(min(a, b))
+            x, y = np.stack([_fold(q[k], w) for k in i]), ~np.stack([_fold(m[k], w) for k in j])
+            step = max(1, room // (len(j) * w))
+            for k in range(0, len(i), step):
+                out[np.ix_(i[k : k + step], j)] = np.bitwise_count(x[k : k + step, None, :] & y[None]).sum(axis=2)
     return out
 
 
@@ -280,7 +283,13 @@ def _shut(rows: DataFrame, t: float) -> DataFrame:
                 if not len(mem):
                     continue
                 if len(mem) > 1:
-                    keep[mem] = True
+                    m = [bits[x] for x in mem]
+                    for k in range(0, len(mem), 1024):
+                        some = slice(k, k + 1024)
+                        most = np.minimum(size[mem[some]][:, None] - _outside(m[some], m), size[mem][None, :] - _outside(m, m[some]).T)
+                        ok = most * (1 + t) >= t * (size[mem[some]][:, None] + size[mem][None, :]) - 1e-9
+                        ok[np.arange(ok.shape[0]), np.arange(k, k + ok.shape[0])] = False
+                        keep[mem[some]] |= ok.any(axis=1)
                 if len(ask):
                     w = min(len(bits[k]) for k in mem)
                     union = np.bitwise_or.reduce([_fold(bits[k], w) for k in mem])
@@ -419,7 +428,10 @@ def jaccard_pairs(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOL
     bits = min(16, max(8, int(np.ceil(np.log2(8 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))))))
     met = cut(_met(_postings(docs, n, threshold, bits, hot), threshold))
     met = cut(_shut(met.join(_bitmaps(docs, n), "doc_id"), threshold))
-    return _verify(docs, met, n, threshold).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    pairs = _verify(docs, met, n, threshold)
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return pairs
+    return pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -447,7 +459,17 @@ def components(pairs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """docs without near copies: of each connected group of pairs, the least doc_id stays. All columns are kept.
 
-    Documents in no pair stay, null and empty texts among them.
+    Equal texts are one document in the join, so large groups of them cost no pairs. Documents in no pair stay, null
+    texts, texts without a word and rows without doc_id among them.
     """
-    gone = cut(components(jaccard_pairs(docs, n, threshold)).filter("doc_id <> root").select(F.col("doc_id").alias("__gone")))
+    some = docs_of(docs).filter(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
+    keys = some.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
+    roots = keys.groupBy("h").agg(F.min("doc_id").alias("root"), F.count("*").alias("c")).filter("c > 1").select("h", "root")
+    copies = keys.join(roots, "h").filter("doc_id <> root").select(F.col("doc_id").alias("__gone"))
+    once = _without(docs, cut(copies.distinct()))
+    near = components(jaccard_pairs(once, n, threshold)).filter("doc_id <> root").select(F.col("doc_id").alias("__gone"))
+    return _without(once, cut(near))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(small(gone, gone.count(), 16), docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
