@@ -129,3 +129,59 @@ def accumulation_steps(global_batch: int, per_device: int) -> int:
     if per_device <= 0 or global_batch % per_device:
         raise ValueError("the global batch must be a multiple of the batch of a device")
     return global_batch // per_device
+
+
+def clean_token_rows(df: DataFrame) -> DataFrame:
+    """Evaluated rows with an answer: is_cot_eval true, is_correct not NULL, pred letter found, lengths known and
+    seq_len over input_len."""
+    d = df.withColumn("pred", answers.marker_first_letter(F.col("decoded_pred"))).withColumn("label", answers.marker_first_letter(F.col("decoded_label")))
+    lens = F.col("input_len").isNotNull() & F.col("seq_len").isNotNull() & (F.col("seq_len") > F.col("input_len"))
+    return d.filter(F.coalesce(F.col("is_cot_eval"), F.lit(False)) & F.col("pred").isNotNull() & F.col("is_correct").isNotNull() & lens)
+
+
+def lengths_agree(df: DataFrame) -> DataFrame:
+    """One row: do the three parallel arrays of every row have equal lengths?"""
+    same = (F.size("tokens") == F.size("entropies")) & (F.size("tokens") == F.size("attn_importance"))
+    return df.agg(F.coalesce(F.bool_and(F.coalesce(same, F.lit(False))), F.lit(True)).alias("ok"))
+
+
+TAILS = (1, 2, 3, 5, 10)
+
+
+def reasoning_metrics(df: DataFrame, special: list[str], percentile: float = 0.75, keep: list[str] | None = None) -> DataFrame:
+    """keep, y (1 for an incorrect row) and the uncertainty metrics of the answer tokens that aren't special: mean,
+    median, max; mean, max, median of the last k; attention-weighted mean, values at the five greatest weights, and the
+    shares of tokens and of attention over the global percentile of their entropies."""
+    d = clean_token_rows(df)
+    room = F.least(F.size("tokens"), F.size("entropies"), F.size("attn_importance"))
+    cut = lambda c: tokens.answer_slice(F.col(c), F.col("input_len"), F.col("seq_len"), room)
+    d = d.withColumn("k", tokens.without_special(cut("tokens"), cut("entropies"), cut("attn_importance"), F.array(*[F.lit(s) for s in special]).cast("array<string>")))
+    d = d.select(*(keep or []), (~F.col("is_correct")).cast("int").alias("y"), F.col("k.h").alias("h"), F.col("k.w").alias("w"))
+    x = d.select(F.explode("h").alias("x"))
+    thr = x.filter("x IS NOT NULL AND NOT isnan(x)").agg(F.percentile("x", F.lit(percentile)).alias("thr"))
+    d = d.crossJoin(F.broadcast(thr))  # one row
+    h, w = F.col("h"), F.col("w")
+    top = tokens.top_by_weight(h, w, 5)
+    out = {"unc_mean_ans": tokens.mean(h), "unc_median_ans": tokens.median(h), "unc_max_ans": F.array_max(h)}
+    for k in TAILS:
+        t = tokens.tail(h, k)
+        out |= {f"unc_tail{k}_mean": tokens.mean(t), f"unc_tail{k}_max": F.array_max(t), f"unc_tail{k}_median": tokens.median(t)}
+    out |= {"unc_attn_mean_ans": tokens.weighted_mean(h, w), "unc_attn_top5_mean": tokens.mean(top), "unc_attn_top5_max": F.array_max(top), "unc_frac_high_ans": tokens.share_over(h, F.col("thr")), "unc_frac_attn_high": tokens.weight_share_over(h, w, F.col("thr"))}
+    return d.select(*(keep or []), "y", *[c.alias(n) for n, c in out.items()])
+
+
+def reasoning_table(df: DataFrame, special: list[str]) -> DataFrame:
+    """The AUC of each metric for telling incorrect rows from correct ones, the best first."""
+    m = reasoning_metrics(df, special)
+    return metrics.metric_table(m, [c for c in m.columns if c != "y"], "y").orderBy(F.desc("auc"), "metric")
+
+
+def invalid_answers(df: DataFrame, col: str) -> DataFrame:
+    """One row: how many answers are not valid."""
+    return df.agg(F.count_if(~answers.is_valid_answer(F.col(col))).alias("invalid"))
+
+
+def trained(checkpoints: DataFrame, expected: DataFrame) -> DataFrame:
+    """name, done: does the last checkpoint (name, epoch) of each expected training (name, epochs) have its last epoch?"""
+    last = checkpoints.groupBy("name").agg(F.max("epoch").alias("last"))
+    return expected.join(last, "name", "left").select("name", F.coalesce(F.col("last") == F.col("epochs"), F.lit(False)).alias("done"))

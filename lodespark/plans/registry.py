@@ -577,6 +577,32 @@ def standard_analysis(spark, d):
     return standard_analysis(df, _judged(spark, d), "demo", "answer", "correct", "entropy")
 
 
+def token_stats(spark, d):
+    """Events by user as evaluated generations: the first two tokens are the prompt."""
+    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value", (F.col("event_id") % 7 - 1).cast("double").alias("w"))))
+    df = table(spark, d, "events").groupBy("user_id").agg(rows.alias("r"))
+    mark = F.when(F.col("user_id") % 9 == 0, "none").otherwise("[[b]]")
+    return df.select("user_id", F.col("r.event_type").alias("tokens"), F.col("r.value").alias("entropies"), F.col("r.w").alias("attn_importance"), mark.alias("decoded_pred"), F.lit("[[b]]").alias("decoded_label"), (F.col("user_id") % 7 > 0).alias("is_cot_eval"), (F.col("user_id") % 3 > 0).alias("is_correct"), F.lit(2).alias("input_len"), F.size("r").alias("seq_len"))
+
+
+@query("""WITH s AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS t, list(value ORDER BY ts, event_id) AS h FROM events WHERE user_id % 9 > 0 AND user_id % 7 > 0 GROUP BY user_id HAVING count(*) > 2),
+k AS (SELECT user_id, list_transform(list_filter(range(3, len(t) + 1), lambda i: t[i] <> 'signup'), lambda i: h[i]) AS h FROM s)
+SELECT user_id, (user_id % 3 = 0)::INT AS y, round(list_avg(h), 6) AS unc_mean_ans, CASE WHEN len(h) >= 10 THEN round(list_max(h[-10:]), 6) END AS unc_tail10_max, round(len(list_filter(h, lambda x: x > thr)) / nullif(len(h), 0), 6) AS unc_frac_high_ans
+FROM k, (SELECT quantile_cont(x, 0.75) AS thr FROM (SELECT unnest(h) AS x FROM k))""")
+def reasoning_metrics(spark, d):
+    from lodespark.plans.pipelines import reasoning_metrics
+
+    m = reasoning_metrics(token_stats(spark, d), ["signup"], keep=["user_id"])
+    return m.select("user_id", "y", *[r6(F.col(c)).alias(c) for c in ("unc_mean_ans", "unc_tail10_max", "unc_frac_high_ans")])
+
+
+@query()
+def reasoning_table(spark, d):
+    from lodespark.plans.pipelines import reasoning_table
+
+    return reasoning_table(token_stats(spark, d), ["signup"]).withColumn("auc", r6(F.col("auc")))
+
+
 @query()
 def ml_oof_auc(spark, d):
     from lodespark.operators import ml

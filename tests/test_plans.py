@@ -149,3 +149,36 @@ def test_plans(spark):
     assert pipelines.accumulation_steps(256, 16) == 16
     with pytest.raises(ValueError):
         pipelines.accumulation_steps(10, 3)
+
+
+def test_reasoning(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(40):
+        n = int(rng.integers(0, 14))
+        toks = [str(x) for x in rng.choice(["a", "b", "<s>"], n)]
+        rows.append((k, toks, rng.random(n).round(2).tolist(), (rng.random(n) - 0.3).tolist(), "[[a]]" if k % 8 else "none", "[[ B]]", k % 9 != 0, [True, False, None][k % 3 if k % 5 else 2], 1, None if k == 11 else n))
+    df = spark.createDataFrame(rows, "k int, tokens array<string>, entropies array<double>, attn_importance array<double>, decoded_pred string, decoded_label string, is_cot_eval boolean, is_correct boolean, input_len int, seq_len int")
+    keep = {r[0]: r for r in rows if r[4] != "none" and r[6] and r[7] is not None and r[9] is not None and r[9] > r[8]}
+    got = {r.k: r for r in pipelines.reasoning_metrics(df, ["<s>"], keep=["k"]).collect()}
+    assert got.keys() == keep.keys() and len(keep) > 5
+    h = {k: np.array([e for t, e in zip(r[1][1:], r[2][1:], strict=True) if t != "<s>"]) for k, r in keep.items()}
+    w = {k: np.array([e for t, e in zip(r[1][1:], r[3][1:], strict=True) if t != "<s>"]).clip(0) for k, r in keep.items()}
+    thr = np.percentile(np.concatenate(list(h.values())), 75)
+    near = lambda a, b: a is None if b is None else abs(a - b) < 1e-9
+    for k, r in got.items():
+        n = len(h[k])
+        assert near(r.unc_mean_ans, h[k].mean() if n else None) and near(r.unc_median_ans, float(np.median(h[k])) if n else None)
+        assert near(r.unc_tail3_max, h[k][-3:].max() if n >= 3 else None) and near(r.unc_frac_high_ans, (h[k] > thr).mean() if n else None)
+        mass = w[k].sum()
+        assert near(r.unc_attn_mean_ans, None if not n else h[k].mean() if mass <= 1e-12 else float(h[k] @ w[k] / mass))
+        assert near(r.unc_frac_attn_high, None if not n or mass <= 1e-12 else w[k][h[k] > thr].sum() / mass) and r.y == int(not keep[k][7])
+    t = pipelines.reasoning_table(df, ["<s>"]).collect()
+    assert [r.auc for r in t] == sorted((r.auc for r in t), reverse=True) and all(r.n_valid >= 10 for r in t)
+    assert pipelines.lengths_agree(df).first().ok and not pipelines.lengths_agree(df.withColumn("tokens", F.lit(None).cast("array<string>"))).first().ok
+    assert pipelines.invalid_answers(df.withColumn("a", F.lit("A")), "a").first().invalid == 40
+    ck = spark.createDataFrame([("x", 1), ("x", 3), ("y", 2)], "name string, epoch int")
+    ex = spark.createDataFrame([("x", 3), ("y", 3), ("z", 3)], "name string, epochs int")
+    assert {r.name: r.done for r in pipelines.trained(ck, ex).collect()} == {"x": True, "y": False, "z": False}
