@@ -66,7 +66,7 @@ def pooled(vectors: Column) -> Column:
     """Per-dimension min, max and mean of array<array<double>>; NULL if there is no vector."""
     n = F.size(vectors)
     fold = lambda f: F.aggregate(F.slice(vectors, 2, F.greatest(n - 1, F.lit(0))), F.get(vectors, F.lit(0)), lambda s, v: F.zip_with(s, v, f))
-    return F.when(n > 0, F.struct(fold(F.least).alias("min"), fold(F.greatest).alias("max"), F.transform(fold(lambda a, b: a + b), lambda x: x / n).alias("mean")))
+    return F.when(n > 0, F.struct(fold(lambda a, b: F.least(a, b)).alias("min"), fold(lambda a, b: F.greatest(a, b)).alias("max"), F.transform(fold(lambda a, b: a + b), lambda x: x / n).alias("mean")))
 
 
 def entropy_at(entropies_json: Column, index: Column) -> Column:

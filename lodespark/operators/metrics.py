@@ -83,7 +83,7 @@ def histogram(df: DataFrame, x: str, hue: str, bins: int, by: list[str] | None =
     lim = df.agg(F.min(_num(x)).alias("__lo"), F.max(_num(x)).alias("__hi"))
     b = df.crossJoin(F.broadcast(lim)).filter(F.col(x).isNotNull())
     pos = F.floor(F.try_divide(_num(x) - F.col("__lo"), (F.col("__hi") - F.col("__lo")) / bins)) + 1
-    b = b.withColumn("bin", F.coalesce(F.least(pos, F.lit(bins)), F.lit(1)).cast("int"))
+    b = b.withColumn("bin", F.least(F.coalesce(pos, F.lit(1)), F.lit(bins)).cast("int"))
     cells = b.groupBy(*by, "bin", hue).agg(F.count("*").alias("n"))
     return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "bin")))
 

@@ -155,8 +155,8 @@ def reasoning_metrics(df: DataFrame, special: list[str], percentile: float = 0.7
     d = clean_token_rows(df)
     room = F.least(F.size("tokens"), F.size("entropies"), F.size("attn_importance"))
     cut = lambda c: tokens.answer_slice(F.col(c), F.col("input_len"), F.col("seq_len"), room)
-    d = d.withColumn("k", tokens.without_special(cut("tokens"), cut("entropies"), cut("attn_importance"), F.array(*[F.lit(s) for s in special]).cast("array<string>")))
-    d = d.select(*(keep or []), (~F.col("is_correct")).cast("int").alias("y"), F.col("k.h").alias("h"), F.col("k.w").alias("w"))
+    d = d.withColumn("__kept", tokens.without_special(cut("tokens"), cut("entropies"), cut("attn_importance"), F.array(*[F.lit(s) for s in special]).cast("array<string>")))
+    d = d.select(*(keep or []), (~F.col("is_correct")).cast("int").alias("y"), F.col("__kept.h").alias("h"), F.col("__kept.w").alias("w"))
     x = d.select(F.explode("h").alias("x"))
     thr = x.filter("x IS NOT NULL AND NOT isnan(x)").agg(F.percentile("x", F.lit(percentile)).alias("thr"))
     d = d.crossJoin(F.broadcast(thr))  # one row

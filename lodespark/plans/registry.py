@@ -196,12 +196,12 @@ def branch_c_input(spark, d):
     return curate.review_input(_orders(spark, d), _records(spark, d))
 
 
-@query("SELECT dataset, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM (SELECT lang AS dataset, n_chars FROM documents UNION ALL SELECT 'labels', NULL FROM labels) GROUP BY dataset")
+@query("SELECT dataset, count(*) AS n, coalesce(sum(n_chars), 0)::BIGINT AS chars FROM (SELECT lang AS dataset, n_chars FROM documents UNION ALL SELECT 'labels', NULL FROM labels) GROUP BY dataset")
 def combined_union(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
     parts = {lang: docs.filter(F.col("lang") == lang) for lang in ("de", "en", "es", "fr")}
     parts["labels"] = table(spark, d, "labels").select("doc_id", "quality")
-    return curate.combined(parts).groupBy("dataset").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return curate.combined(parts).groupBy("dataset").agg(F.count("*").alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
 
 
 # ---- answers ------------------------------------------------------------------------------------------------------
@@ -246,12 +246,12 @@ def _marked(spark, d):
 @query(f"""WITH {MARKED}, p AS (SELECT *, instr(s, '[[') AS a, instr(s, ']]') AS b, string_split(s, '[[')[-1] AS t FROM m),
 q AS (SELECT *, CASE WHEN a > 0 AND contains(t, ']]') THEN upper(trim(string_split(t, ']]')[1])) END AS u FROM p)
 SELECT doc_id, CASE WHEN a > 0 AND b > a + 2 THEN s[a + 2:b - 1] ELSE '' END AS first_text, CASE WHEN u[1] BETWEEN 'A' AND 'Z' AND u <> '' THEN u[1] END AS last_letter,
-try_cast(regexp_extract_all(s, '\\[\\[\\s*(\\d+)\\s*\\]\\]', 1)[-1] AS BIGINT) AS last_number, nullif(lower(regexp_extract(s, '\\[\\[\\s*([A-Za-z])[\\s\\S]*?\\]\\]', 1)), '') AS first_letter,
+coalesce(try_cast(regexp_extract_all(s, '\\[\\[\\s*(\\d+)\\s*\\]\\]', 1)[-1] AS BIGINT), -1) AS last_number, nullif(lower(regexp_extract(s, '\\[\\[\\s*([A-Za-z])[\\s\\S]*?\\]\\]', 1)), '') AS first_letter,
 CASE WHEN regexp_extract(s, '\\[\\[(.+?)\\]\\]', 1) IN ('high_school_and_easier', 'undergraduate', 'graduate', 'postgraduate') THEN regexp_extract(s, '\\[\\[(.+?)\\]\\]', 1) END AS level,
-CASE WHEN try_cast(regexp_extract(s, '\\[\\[(\\d+?)\\]\\]', 1) AS INT) BETWEEN 1 AND 10 THEN try_cast(regexp_extract(s, '\\[\\[(\\d+?)\\]\\]', 1) AS INT) END AS rating FROM q""")
+CASE WHEN try_cast(regexp_extract(s, '\\[\\[(\\d+?)\\]\\]', 1) AS INT) BETWEEN 1 AND 10 THEN try_cast(regexp_extract(s, '\\[\\[(\\d+?)\\]\\]', 1) AS INT) ELSE -1 END AS rating FROM q""")
 def markers(spark, d):
     s = F.col("s")
-    return _marked(spark, d).select("doc_id", answers.marker_text(s).alias("first_text"), answers.marker_last_letter(s).alias("last_letter"), answers.marker_last_number(s).alias("last_number"), answers.marker_first_letter(s).alias("first_letter"), answers.judge_level(s).alias("level"), answers.judge_rating(s).alias("rating"))
+    return _marked(spark, d).select("doc_id", answers.marker_text(s).alias("first_text"), answers.marker_last_letter(s).alias("last_letter"), F.coalesce(answers.marker_last_number(s), F.lit(-1)).alias("last_number"), answers.marker_first_letter(s).alias("first_letter"), answers.judge_level(s).alias("level"), F.coalesce(answers.judge_rating(s), F.lit(-1)).alias("rating"))
 
 
 @query("""WITH t AS (SELECT p_partkey, (p_size % 12)::INT AS n, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN (p_size % 14)::VARCHAR WHEN 2 THEN ' ' || chr((97 + p_size % 14)::INT) || ' ' ELSE '``` 7 and ' || p_size || '``` ' END AS x FROM part),
@@ -544,12 +544,12 @@ def evaluation_plan(spark, d):
     return evaluation_plan(bands)
 
 
-@query("""SELECT date_trunc('day', ts)::TIMESTAMPTZ AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def stream_windowed_counts(spark, d):
     from lodespark.streaming.resume import run_windowed_counts
 
     out = run_windowed_counts(spark, d, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string", "events.parquet", ["event_type"], "windowed_counts")
-    return out.withColumn("total", r6(F.col("total")))
+    return out.withColumn("total", r6(F.col("total"))).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 @query()

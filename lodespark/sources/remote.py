@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 class RateLimited(Exception):
@@ -35,7 +36,7 @@ def call_model(df: DataFrame, make: Callable[[], Callable[[dict], dict]], column
 
     make builds the row function once for each task, so clients and models needn't be pickled. Rows of a batch are
     called by threads at a time. The order of rows is kept within a task."""
-    names = [c.strip().split()[0] for c in columns.split(",")]
+    names = T.StructType.fromDDL(columns).names
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,11 +1,14 @@
 import os
+import sys
 
 import pytest
 from lodespark.plans import pipelines
 from lodespark.sources import remote, tables
 from lodespark.streaming import resume
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 QUESTIONS = [(1, "Q1?", ["x", "y"], "s", "A", 0), (2, " ", ["x", "y"], "s", "", 1), (3, "Q3?", ["x"], None, "", 0), (4, "Q4?", ["x", "y", "z"], None, "", 1), (5, "Q5?", ["x", "y"], "s", "Z", 7)]
 SCHEMA = "question_id long, question string, options array<string>, subject string, answer string, answer_index int"
 
