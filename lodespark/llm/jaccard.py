@@ -7,15 +7,17 @@ collisions and has no cap on partners:
 1. Tokens that a batch of documents holds often are collected; they come last in the global token order (hot, hash).
    Any order is correct; this one keeps passages that many documents share out of the prefixes. At most HOT_TOKENS, the
    most frequent, are kept, as they are broadcast; that changes only how many documents are looked at, not the result.
-2. A document's group is the first token of its prefix that another document of the batch has too (the very first, if
+2. A document's group is the first token of its prefix that another document of its batch has too (the very first, if
    there is none), so copies tend to share a group. The token-group matrix holds, for each prefix token, the groups
    having it, with the sizes of their members. It is cut into buckets of tokens; a bucket sees documents and groups
    together, so one shuffle of packed postings builds and probes it. A pair with Jaccard >= t shares a token of its
-   prefixes, so a document can only match groups that its prefix meets; and at the first token that they share, the
-   tokens that are left to both must still reach the overlap that t asks for.
-3. Each group's token union is kept as a bitmap of hashed tokens, four bits a token. A document's bits outside the union
-   bound its overlap with the group from above; where the bound falls short, the group stays shut.
-4. Opened groups get the whole token sets and are compared by products of 0/1 matrices.
+   prefixes, so a document can only match groups that its prefix meets.
+3. The tokens of a document's prefix that lie in a group's union are counted over all buckets. All that a pair shares
+   besides lies beyond the prefix of that of the two whose prefix ends first, so the count and the longer of the two
+   rests bound the overlap; where the bound falls short of what t asks for, the group stays shut.
+4. Groups still in question are bounded once more, by the whole token union as a bitmap of hashed tokens, four bits a
+   token: at least as many of a document's tokens as it has bits outside the union aren't in it.
+5. Opened groups get the whole token sets and are compared by products of 0/1 matrices.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.common import cut, docs_of, small
-from lodespark.llm.textkernel import chunks, inside, mix, ngrams, words
+from lodespark.llm.textkernel import chunks, eased, inside, mix, ngrams, relieve, words
 
 N_WORDS = 5
 THRESHOLD = 0.4
 HOT_RATE = 2e-4
 HOT_DF = 16
 HOT_TOKENS = 4_000_000
+BATCH_ROWS = 4096
 _BITS = 40
 _MASK = (1 << _BITS) - 1
 
@@ -66,7 +69,7 @@ def token_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndar
 
 def _hot_tokens(docs: DataFrame, n: int) -> np.ndarray:
     def local(batches):
-        for b in batches:
+        for b in eased(batches):
             if not b.num_rows:
                 continue
             tok = np.concatenate([t for _, _, t in token_sets(b.column("text"), n)] or [np.zeros(0, np.uint64)])
@@ -89,7 +92,7 @@ def _is_hot(tok: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[at] == tok
 
 
-_LOG = np.log(2) / 16  # sizes are kept rounded down to powers of 2 ** (1 / 16), the share of tokens left rounded up
+_LOG = np.log(2) / 16  # sizes are kept rounded down to powers of 2 ** (1 / 16)
 
 
 def _pack(ids: np.ndarray, *cols: np.ndarray) -> bytes:
@@ -102,7 +105,7 @@ def _pack(ids: np.ndarray, *cols: np.ndarray) -> bytes:
 def _unpack(blob) -> list[np.ndarray]:
     n, base, wide = (int(x) for x in np.frombuffer(blob, np.int64, 3))
     out, at = [], 24
-    for kind in (np.int64 if wide else np.uint32, np.uint32, np.uint32, np.uint8, np.uint8):
+    for kind in (np.int64 if wide else np.uint32, np.uint32, np.uint32, np.uint8):
         out.append(np.frombuffer(blob, kind, n, at))
         at += out[-1].nbytes
     out[0] = out[0].astype(np.int64) + base
@@ -110,13 +113,13 @@ def _unpack(blob) -> list[np.ndarray]:
 
 
 def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
-    """Packed prefix postings (document, token, group, size, share of tokens left) by bucket of tokens."""
+    """Packed prefix postings (document, token, group, size) by bucket of tokens."""
 
     def run(batches):
         heavy = hot.value
-        for b in batches:
+        for b in eased(x.slice(i, BATCH_ROWS) for x in batches for i in range(0, x.num_rows, BATCH_ROWS)):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[], [], []]
             for first, off, tok in token_sets(b.column("text"), n):
                 size = np.diff(off)
                 who = np.repeat(np.arange(len(size)), size)
@@ -126,13 +129,12 @@ def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
                 rank = np.arange(len(tok)) - off[:-1][who]
                 take = rank < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[who]
                 who = who[take]
-                left = np.ceil((size[who] - rank[take]) * (255 / size[who])).astype(np.uint8)
                 level = np.minimum(255, np.floor(np.log(np.maximum(1, size)) / _LOG + 1e-9)).astype(np.uint8)
-                for c, v in zip(cols, (first + who, tok[take], level[who], left), strict=True):
+                for c, v in zip(cols, (first + who, tok[take], level[who]), strict=True):
                     c.append(v)
             if not cols[0] or not sum(map(len, cols[0])):
                 continue
-            row, tok, level, left = (np.concatenate(c) for c in cols)
+            row, tok, level = (np.concatenate(c) for c in cols)
             key = np.sort(tok)
             common = key[1:][key[1:] == key[:-1]]
             at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -143,44 +145,49 @@ def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
             rep = ids[row]
             bucket = (tok >> np.uint64(_BITS - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            rep, tok, grp, level, left, bucket = rep[order], (tok[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), grp[order], level[order], left[order], bucket[order]
+            rep, tok, grp, level, bucket = rep[order], (tok[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), grp[order], level[order], bucket[order]
             at = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-            blobs = [_pack(rep[i:j], tok[i:j], grp[i:j], level[i:j], left[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            blobs = [_pack(rep[i:j], tok[i:j], grp[i:j], level[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return docs.mapInArrow(run, "bucket long, blob binary")
 
 
-def _meet(rep, tok, grp, level, left, t: float, room: int = 1 << 21):
-    """Rows (document, group, role) of one bucket: role 1, a member to look at; 2, a document from a lower group."""
+def _meet(rep, tok, grp, level, t: float, room: int = 1 << 19):
+    """Columns (document, group, role, count, need) of one bucket. Role 1: the document in its own group, counting tokens
+    that another member has; 2: the document against a greater group, counting tokens of that group's union. need is how
+    many tokens, over all buckets, the bound asks for at least."""
     low = tok & np.uint32((1 << 20) - 1)
     many = np.bincount(low, minlength=1 << 20)[low] > 1  # most tokens occur once
-    rep, tok, grp, level, left = rep[many], tok[many], grp[many], level[many], left[many]
+    rep, tok, grp, level = rep[many], tok[many], grp[many], level[many]
     order = np.argsort((tok.astype(np.uint64) << np.uint64(32)) | grp, kind="stable")
-    rep, tok, grp, level, left = rep[order], tok[order], grp[order], level[order], left[order]
+    rep, tok, grp, level = rep[order], tok[order], grp[order], level[order]
     if not len(rep):
         return
     new = np.concatenate([[True], tok[1:] != tok[:-1]])
     run = np.cumsum(new) - 1
     many = np.bincount(run)[run] > 1
-    rep, tok, grp, level, left = rep[many], tok[many], grp[many], level[many], left[many]
+    rep, tok, grp, level = rep[many], tok[many], grp[many], level[many]
     if not len(rep):
         return
-    size = np.floor(np.exp(level * _LOG)).astype(np.int64)
-    most = np.where(level == 255, 1 << 60, np.ceil(np.exp((level + 1.0) * _LOG)).astype(np.int64))
-    rest = np.ceil(left * (most / 255.0))  # tokens left, this one included, at most
+    size = np.floor(np.exp(level * _LOG))
+    most = np.where(level == 255, 2.0**60, np.ceil(np.exp((level + 1.0) * _LOG)))
     first = np.concatenate([[True], (tok[1:] != tok[:-1]) | (grp[1:] != grp[:-1])])
     cell = np.cumsum(first) - 1
     at = np.flatnonzero(first)
     members = np.diff(np.append(at, len(rep)))
-    lo, hi, far = np.minimum.reduceat(size, at), np.maximum.reduceat(most, at), np.maximum.reduceat(rest, at)
+    lo, hi = np.minimum.reduceat(size, at), np.maximum.reduceat(most, at)
     cell_tok, cell_grp = tok[at], grp[at]
     seen = members > 1
+
+    def need(who, to):
+        return t / (1 + t) * (size[who] + lo[to]) - t * np.maximum(most[who], hi[to]) - 1e-6
+
     new = np.concatenate([[True], cell_tok[1:] != cell_tok[:-1]])
     run_end = np.append(np.flatnonzero(new), len(cell_tok))[np.cumsum(new)]
     counts = run_end[cell] - cell - 1  # cells of the same token with a greater group
     ends = np.cumsum(counts)
-    i, out = 0, []
+    i = 0
     while i < len(rep):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + room, side="right")))
         c = counts[i:j]
@@ -189,45 +196,61 @@ def _meet(rep, tok, grp, level, left, t: float, room: int = 1 << 21):
             e = np.cumsum(c)
             to = np.arange(len(who)) - np.repeat(e - c, c) + cell[who] + 1
             ok = (size[who] * t <= hi[to]) & (lo[to] * t <= most[who])
-            ok &= np.minimum(rest[who], far[to]) * (1 + t) >= t * (size[who] + lo[to]) - 1e-6
             who, to = who[ok], to[ok]
             seen[to] = True
-            pair = np.unique(np.stack([rep[who], cell_grp[to].astype(np.int64)]), axis=1) if len(who) else np.zeros((2, 0), np.int64)
-            out.append((pair[0], pair[1]))
+            yield rep[who], cell_grp[to].astype(np.int64), np.full(len(who), 2), np.ones(len(who), np.int64), need(who, to)
         i = j
-    m = seen[cell]
-    pair = np.unique(np.stack([rep[m], grp[m].astype(np.int64)]), axis=1)
-    yield pair[0], pair[1], 1
-    if out:
-        pair = np.unique(np.stack([np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])]), axis=1)
-        yield pair[0], pair[1], 2
+    who = np.flatnonzero(seen[cell])
+    yield rep[who], grp[who].astype(np.int64), np.ones(len(who), np.int64), (members[cell[who]] > 1).astype(np.int64), need(who, cell[who])
+
+
+def _summed(parts: list) -> list[np.ndarray]:
+    """Parts with the counts of equal (document, group, role) added, and the least need of each."""
+    rep, grp, role, c, need = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((grp * 4 + role, rep))
+    rep, key, c, need = rep[order], (grp * 4 + role)[order], c[order], need[order]
+    at = np.flatnonzero(np.concatenate([[True], (rep[1:] != rep[:-1]) | (key[1:] != key[:-1])])) if len(rep) else np.zeros(0, np.int64)
+    if not len(at):
+        return [rep, key >> 2, key & 3, c, need]
+    return [rep[at], key[at] >> 2, key[at] & 3, np.add.reduceat(c, at), np.minimum.reduceat(need, at)]
 
 
 def _met(posts: DataFrame, t: float) -> DataFrame:
+    """(doc_id, grp, role) of the cells that the bound leaves open, and of the members they are to be compared with."""
+
     def run(batches):
         by: dict[int, list] = {}
         for b in batches:
             for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob"), strict=True):
                 by.setdefault(k, []).append(blob.as_buffer())
-        got = []
+        got, held = [], 0
         for parts in by.values():
             cols = [np.concatenate(c) for c in zip(*map(_unpack, parts), strict=True)]
-            got += [np.stack([rep, grp, np.full(len(rep), role)]) for rep, grp, role in _meet(*cols, t)]
-            if sum(x.shape[1] for x in got) > 1 << 20:
-                got = [np.unique(np.concatenate(got, axis=1), axis=1)]
+            for part in _meet(*cols, t):
+                got.append(part)
+                held += len(part[0])
+                if held > 1 << 20:
+                    got = [_summed(got)]
+                    held = len(got[0][0])
         if got:
-            rows = np.unique(np.concatenate(got, axis=1), axis=1)
-            for i in range(0, rows.shape[1], 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[k, i : i + (1 << 17)]) for k in range(3)], ["doc_id", "grp", "role"])
+            rows = _summed(got)
+            del got, by
+            relieve()
+            for i in range(0, len(rows[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)]) for c in (*rows[:4], rows[4].astype(np.float32))], ["doc_id", "grp", "role", "c", "need"])
 
-    return posts.repartition("bucket").mapInArrow(run, "doc_id long, grp long, role long").distinct()
+    cells = posts.repartition("bucket").mapInArrow(run, "doc_id long, grp long, role long, c long, need float")
+    cells = cut(cells.groupBy("doc_id", "grp", "role").agg((F.sum("c") >= F.min("need")).alias("open")).filter("open OR role = 1"))
+    asked = cells.filter("role = 2").select("grp").distinct()
+    members = cells.filter("role = 1 AND NOT open").join(small(asked, asked.count(), 16), "grp", "left_semi")
+    return cells.filter("open").unionByName(members.select("doc_id", "grp", "role", "open")).select("doc_id", "grp", "role")
 
 
 def _bitmaps(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, size and a bitmap of each document's token set."""
 
     def run(batches):
-        for b in batches:
+        for b in eased(batches):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for first, off, tok in token_sets(b.column("text"), n):
                 size = np.diff(off)
@@ -370,7 +393,7 @@ def _verify(docs: DataFrame, met: DataFrame, n: int, t: float) -> DataFrame:
     joined = docs.join(small(need, stats[0] + 4 * stats[1], 16), "doc_id")
 
     def sets(batches):
-        for b in batches:
+        for b in eased(batches):
             ids, cells = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("cells").to_pylist()
             for first, off, tok in token_sets(b.column("text"), n):
                 rows: list[list] = [[], [], []]
@@ -426,7 +449,7 @@ def jaccard_pairs(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOL
     docs = docs_of(docs)
     hot = spark.sparkContext.broadcast(_hot_tokens(docs, n))
     bits = min(16, max(8, int(np.ceil(np.log2(8 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))))))
-    met = cut(_met(_postings(docs, n, threshold, bits, hot), threshold))
+    met = _met(_postings(docs, n, threshold, bits, hot), threshold)
     met = cut(_shut(met.join(_bitmaps(docs, n), "doc_id"), threshold))
     pairs = _verify(docs, met, n, threshold)
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
