@@ -10,10 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 48 << 20
+BATCH_BYTES = 8 << 20
 
 
 def docs_of(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text under those very names, without other columns; rows without a doc_id go."""
+    """doc_id and text under those very names, without other columns; rows without a doc_id go.
+
+    Texts are long, so the session's Arrow batches are held to BATCH_BYTES, if they may be larger: a batch is in memory
+    several times over, in the JVM and in each of an executor's Python workers.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).filter(F.col("doc_id").isNotNull())
 
 

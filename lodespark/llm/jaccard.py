@@ -4,14 +4,15 @@ Documents are sets of hashed word n-grams (40-bit fingerprints of normalised wor
 one n-gram of all its words, an empty one is the empty set and matches nothing). The join is exact up to fingerprint
 collisions and has no cap on partners:
 
-1. Tokens that a batch of documents holds often are collected; they come last in the global token order (hot, hash).
-   Any order is correct; this one keeps passages that many documents share out of the prefixes. At most HOT_TOKENS, the
-   most frequent, are kept, as they are broadcast; that changes only how many documents are looked at, not the result.
-2. A document's group is the first token of its prefix that another document of its batch has too (the very first, if
-   there is none), so copies tend to share a group. The token-group matrix holds, for each prefix token, the groups
-   having it, with the sizes of their members. It is cut into buckets of tokens; a bucket sees documents and groups
-   together, so one shuffle of packed postings builds and probes it. A pair with Jaccard >= t shares a token of its
-   prefixes, so a document can only match groups that its prefix meets.
+1. Tokens that HOT_DF documents or more have in their prefixes by hash order are counted over all documents; they come
+   last in the global token order (hot, hash). Any order is correct; this one keeps passages that many documents share
+   out of the prefixes. At most HOT_TOKENS, the most frequent, are kept, as they are broadcast; that changes only how
+   many documents are looked at, not the result.
+2. A document's group is the first token of its prefix that is hot or in another document of its batch too (the very
+   first, if there is none), so copies, and documents that share a passage, tend to share a group. The token-group
+   matrix holds, for each prefix token, the groups having it, with the sizes of their members. It is cut into buckets
+   of tokens; a bucket sees documents and groups together, so one shuffle of packed postings builds and probes it. A
+   pair with Jaccard >= t shares a token of its prefixes, so a document can only match groups that its prefix meets.
 3. The tokens of a document's prefix that lie in a group's union are counted over all buckets. All that a pair shares
    besides lies beyond the prefix of that of the two whose prefix ends first, so the count and the longer of the two
    rests bound the overlap; where the bound falls short of what t asks for, the group stays shut.
@@ -30,12 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.common import cut, docs_of, small
-from lodespark.llm.textkernel import chunks, eased, inside, mix, ngrams, relieve, words
+from lodespark.llm.textkernel import by_bucket, chunks, eased, from_buckets, inside, mix, ngrams, relieve, words
 
 N_WORDS = 5
 THRESHOLD = 0.4
-HOT_RATE = 2e-4
-HOT_DF = 16
+HOT_DF = 8
 HOT_TOKENS = 4_000_000
 BATCH_ROWS = 4096
 _BITS = 40
@@ -67,20 +67,36 @@ def token_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield first, off, (key & np.uint64(_MASK))
 
 
-def _hot_tokens(docs: DataFrame, n: int) -> np.ndarray:
+def _prefix(off: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The document of each token, and whether the token is in its prefix."""
+    size = np.diff(off)
+    who = np.repeat(np.arange(len(size)), size)
+    rank = np.arange(len(who)) - off[:-1][who]
+    return who, rank < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[who]
+
+
+def _slices(batches):
+    return eased(x.slice(i, BATCH_ROWS) for x in batches for i in range(0, x.num_rows, BATCH_ROWS))
+
+
+def _hot_tokens(docs: DataFrame, n: int, t: float, bits: int) -> np.ndarray:
+    rest = np.uint64(_BITS - bits)
+
     def local(batches):
-        for b in eased(batches):
-            if not b.num_rows:
-                continue
-            tok = np.concatenate([t for _, _, t in token_sets(b.column("text"), n)] or [np.zeros(0, np.uint64)])
-            tok.sort()
-            at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
+        for b in _slices(batches):
+            tok = np.concatenate([x[_prefix(off, t)[1]] for _, off, x in token_sets(b.column("text"), n)] or [np.zeros(0, np.uint64)])
+            yield by_bucket((tok >> rest).astype(np.int64), [(tok & np.uint64((1 << int(rest)) - 1)).astype(np.uint32)])
+
+    def frequent(batches):
+        for key, tok in from_buckets(batches, [(np.uint32, 1)], keyed=True):
+            tok = np.sort(tok)
+            at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
             c = np.diff(np.append(at, len(tok)))
-            keep = c >= max(2, HOT_RATE * b.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(tok[at][keep].astype(np.int64)), pa.array(c[keep].astype(np.int64))], ["token", "c"])
+            keep = c >= HOT_DF
+            yield pa.RecordBatch.from_arrays([pa.array(tok[at][keep].astype(np.int64) + (key << int(rest))), pa.array(c[keep])], ["token", "c"])
 
-    hot = docs.select("text").mapInArrow(local, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= HOT_DF).orderBy(F.desc("c"), "token").limit(HOT_TOKENS).select("token")
-    got = hot.toArrow().column(0).to_numpy()
+    counts = docs.select("text").mapInArrow(local, "bucket long, blob binary").repartition("bucket").mapInArrow(frequent, "token long, c long")
+    got = cut(counts).orderBy(F.desc("c"), "token").limit(HOT_TOKENS).select("token").toArrow().column(0).to_numpy()
     return np.sort(got.astype(np.uint64))
 
 
@@ -117,17 +133,15 @@ def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
 
     def run(batches):
         heavy = hot.value
-        for b in eased(x.slice(i, BATCH_ROWS) for x in batches for i in range(0, x.num_rows, BATCH_ROWS)):
+        for b in _slices(batches):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             cols: list[list] = [[], [], []]
             for first, off, tok in token_sets(b.column("text"), n):
                 size = np.diff(off)
-                who = np.repeat(np.arange(len(size)), size)
+                who, take = _prefix(off, t)
                 late = _is_hot(tok, heavy)
                 if late.any():
                     tok = tok[np.argsort((who.astype(np.int64) << 1) | late, kind="stable")]
-                rank = np.arange(len(tok)) - off[:-1][who]
-                take = rank < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[who]
                 who = who[take]
                 level = np.minimum(255, np.floor(np.log(np.maximum(1, size)) / _LOG + 1e-9)).astype(np.uint8)
                 for c, v in zip(cols, (first + who, tok[take], level[who]), strict=True):
@@ -138,7 +152,8 @@ def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
             key = np.sort(tok)
             common = key[1:][key[1:] == key[:-1]]
             at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            lead = np.where(_is_hot(tok, common[np.concatenate([[True], common[1:] != common[:-1]])] if len(common) else common), np.arange(len(tok)), len(tok))
+            shared = _is_hot(tok, common[np.concatenate([[True], common[1:] != common[:-1]])] if len(common) else common) | _is_hot(tok, heavy)
+            lead = np.where(shared, np.arange(len(tok)), len(tok))
             lead = np.minimum.reduceat(lead, at)
             lead = np.where(lead == len(tok), at, lead)
             grp = np.repeat((mix(tok[lead]) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(at, len(row))))
@@ -447,8 +462,8 @@ def jaccard_pairs(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOL
     """
     spark = docs.sparkSession
     docs = docs_of(docs)
-    hot = spark.sparkContext.broadcast(_hot_tokens(docs, n))
     bits = min(16, max(8, int(np.ceil(np.log2(8 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))))))
+    hot = spark.sparkContext.broadcast(_hot_tokens(docs, n, threshold, bits))
     met = _met(_postings(docs, n, threshold, bits, hot), threshold)
     met = cut(_shut(met.join(_bitmaps(docs, n), "doc_id"), threshold))
     pairs = _verify(docs, met, n, threshold)

@@ -178,14 +178,15 @@ def by_bucket(bucket: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int64), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def from_buckets(batches, kinds: list[tuple]) -> Iterator[list[np.ndarray]]:
-    """The columns of each bucket of a partition; kinds has (dtype, width) of each, width 1 for flat columns."""
+def from_buckets(batches, kinds: list[tuple], keyed: bool = False) -> Iterator:
+    """The columns of each bucket of a partition (with the bucket before them, if keyed); kinds has (dtype, width) of
+    each, width 1 for flat columns."""
     by: dict[int, list] = {}
     for b in batches:
         for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             by.setdefault(k, []).append(blob.as_buffer())
     while by:
-        _, blobs = by.popitem()
+        key, blobs = by.popitem()
         parts = []
         for blob in blobs:
             n, at, row = int(np.frombuffer(blob, np.int64, 1)[0]), 8, []
@@ -194,5 +195,6 @@ def from_buckets(batches, kinds: list[tuple]) -> Iterator[list[np.ndarray]]:
                 at += c.nbytes
                 row.append(c.reshape(n, width) if width > 1 else c)
             parts.append(row)
-        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        yield (key, *cols) if keyed else cols
     relieve()
