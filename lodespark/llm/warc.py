@@ -52,12 +52,12 @@ def fault_of(page_id: int | None, rate: float) -> int:
 
 
 def damage(data: bytes, fault: int) -> bytes:
-    """1: a byte of the middle flipped; 2: the second half cut off; 3: junk before it; 4: its first bytes wiped out."""
-    m = len(data) // 2
+    """1: a byte near its end (a checksum or payload byte) flipped; 2: the second half cut off; 3: junk before it; 4: its first bytes wiped out."""
+    m = max(0, len(data) - 8)
     if fault == 1:
         return data[:m] + bytes([data[m] ^ 0x55]) + data[m + 1 :]
     if fault == 2:
-        return data[:m]
+        return data[: len(data) // 2]
     if fault == 3:
         return b"\x00\xffjunk WARC/1.0\r\n\x1f\x8b\x08\x00" * 3 + data
     return b"\x00" * 8 + data[8:] if fault == 4 else data
@@ -75,7 +75,10 @@ def parse(data: bytes) -> tuple[dict[bytes, bytes], bytes] | str:
         k, colon, v = line.partition(b":")
         if not colon:
             return "bad header line"
-        head[k.strip().lower()] = v.strip()
+        k = k.strip().lower()
+        if k in head and k != b"warc-concurrent-to":
+            return "repeated header"  # a record cut off in its header runs into the next one's
+        head[k] = v.strip()
     size = head.get(b"content-length", b"")
     if not size.isdigit():
         return "no content length"
@@ -143,8 +146,9 @@ def _next_start(at: At, o: int, size: int) -> int:
 def salvage(at: At, size: int, lo: int = 0, hi: int | None = None) -> Iterator[tuple]:
     """Events of an archive in order: ("record", offset, length, headers, payload) or ("gap", offset, length, reason).
 
-    at(o, n) gives up to n bytes from offset o on. With lo and hi, only events that begin in lo..hi are given: a reader
-    of a later part of the archive begins at the first valid record from lo on, where the reader before it ends.
+    at(o, n) gives up to n bytes from offset o on. With lo and hi, records that begin in lo..hi are given and the gaps
+    after them: a reader of a later part of the archive begins at the first valid record from lo on, up to which the
+    reader before it goes.
     """
     hi = size if hi is None else hi
     o = lo
@@ -152,9 +156,13 @@ def salvage(at: At, size: int, lo: int = 0, hi: int | None = None) -> Iterator[t
         o = _next_start(at, lo, size)
         while o < size and isinstance(_record_at(at, o), str):
             o = _next_start(at, o + 1, size)
-    while o < hi:
+    if o >= hi:
+        return
+    while o < size:
         got = _record_at(at, o)
         if not isinstance(got, str):
+            if o >= hi:
+                return
             yield "record", o, got[0] - o, got[1], got[2]
             o = got[0]
             continue
