@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.common import BROADCAST_BYTES, cut, docs_of
-from lodespark.llm.textkernel import by_bucket, chunks, from_buckets, mix, ngrams, words
+from lodespark.llm.textkernel import by_bucket, chunks, eased, from_buckets, mix, ngrams, words
 
 MIN_WORDS = 50
 SEED = 20
@@ -58,7 +58,7 @@ def _anchors(w, seed: int, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _seeds(docs: DataFrame, least: int, seed: int, buckets: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in eased(batches):
             ids, vers = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("ver").to_numpy(zero_copy_only=False)
             cols: list[list] = [[], [], [], []]
             for first, part in chunks(b.column("text")):
@@ -92,7 +92,7 @@ def _spread(docs: DataFrame, at: DataFrame, least: int, seed: int, buckets: int)
         need = F.broadcast(need)
 
     def run(batches):
-        for b in batches:
+        for b in eased(batches):
             ids, vers = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("ver").to_numpy(zero_copy_only=False)
             lists = b.column("at")
             lo, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
@@ -230,20 +230,23 @@ def cut_repeats(docs: DataFrame, least: int = MIN_WORDS, seed: int = SEED) -> Da
     The first place of each repeat stays, so no passage is lost. A document left without a word goes; one that had none
     before stays as it is, as do null texts and rows without doc_id.
     """
+    names = docs.columns
+    at = "__cuts"
+    while at.lower() in {c.lower() for c in names}:
+        at += "_"
     cuts = _found(docs, least, seed).filter("later_words > 0").groupBy(F.col("doc_id").alias("__id"), F.col("ver").alias("__ver"))
-    cuts = cut(cuts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_word", "later"))), lambda x: x["later"])).alias("__cuts")))
-    n, m = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("__cuts")), F.lit(0))).first()
+    cuts = cut(cuts.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_word", "later"))), lambda x: x["later"])).alias(at)))
+    n, m = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size(at)), F.lit(0))).first()
     if 24 * n + 8 * m <= BROADCAST_BYTES:
         cuts = F.broadcast(cuts)
 
     @F.arrow_udf("string")
-    def rest(text: pa.Array, at: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.decode("utf-8") for x in without(text, at.to_pylist())], pa.string())
+    def rest(text: pa.Array, pairs: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else x.decode("utf-8") for x in without(text, pairs.to_pylist())], pa.string())
 
-    names = docs.columns
     ver = F.coalesce(F.crc32(docs["text"].cast("binary")), F.lit(0))
     out = docs.join(cuts, (docs["doc_id"].cast("long") == cuts["__id"]) & (ver == cuts["__ver"]), "left")
-    hit = out.filter(F.col("__cuts").isNotNull()).withColumn("text", rest(F.col("text"), F.col("__cuts"))).filter(F.col("text").isNotNull())
+    hit = out.filter(F.col(at).isNotNull()).withColumn("text", rest(F.col("text"), F.col(at))).filter(F.col("text").isNotNull())
     if "n_chars" in names:
         hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return hit.select(*names).unionByName(out.filter(F.col("__cuts").isNull()).select(*names))
+    return hit.select(*names).unionByName(out.filter(F.col(at).isNull()).select(*names))
