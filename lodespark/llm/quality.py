@@ -1,7 +1,7 @@
 """Quality rules: logistic regression over hashed word and character n-grams.
 
-Features are the shares of a text's raw words, word pairs, and byte 3- and 4-grams, each hashed into 2 ** BITS weights of
-one table; a share doesn't depend on the text's length, so a score is a mean weight per family. The model is fitted to
+Features are the shares of a text's raw words, word pairs, word triples by which of the three are equal, and byte 3- and
+4-grams, each hashed into 2 ** BITS weights of one table; a share doesn't depend on the text's length, so a score is a mean weight per family. The model is fitted to
 labelled documents, at most MAX_TRAIN_ROWS of them (those with the least hash of their doc_id): the only bound here.
 A fifth of them calibrates the score (Platt). Scoring reads whole texts in Arrow batches.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.common import docs_of
-from lodespark.llm.textkernel import chunks, inside, ngrams, words
+from lodespark.llm.textkernel import chunks, inside, ngrams, relieve, words
 
 BITS = 18
 MAX_TRAIN_ROWS = 3000
@@ -39,6 +39,10 @@ def families(part: pa.Array):
     ok = inside(w.off, 2, len(w.h))
     pair = np.maximum(np.diff(w.off) - 1, 0)
     yield np.concatenate([[0], np.cumsum(pair)]), (ngrams(w.h, 2)[ok] & mask).astype(np.int32)
+    three = np.maximum(np.diff(w.off) - 2, 0)
+    h = w.h
+    same = (h[1:-1] == h[:-2]).astype(np.int32) + 2 * (h[2:] == h[1:-1]) + 4 * (h[2:] == h[:-2]) if len(h) > 2 else np.zeros(0, np.int32)
+    yield np.concatenate([[0], np.cumsum(three)]), (same[inside(w.off, 3, len(h))] + 1) * np.int32(28657) & np.int32(mask)
     d = w.data.astype(np.uint32)
     for n in (3, 4):
         m = len(d) - n + 1
@@ -160,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         if t is not None:
             t = t.sort_by([("k", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
             m = fit(t.column("text").combine_chunks(), t.column("y").to_numpy())
+            relieve()
         yield pa.RecordBatch.from_arrays([pa.array([None if m.weights is None else m.weights.tobytes()], pa.binary()), *[pa.array([float(x)]) for x in m[1:]]], ["w", "b", "s", "t"])
 
     got = rows.withColumn("k", F.xxhash64("doc_id")).repartition(1).mapInArrow(run, "w binary, b double, s double, t double").collect()
@@ -172,7 +177,9 @@ def _scorer(spark, model: Model):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(probabilities(text, Model(*m.value)))
+        out = pa.array(probabilities(text, Model(*m.value)))
+        relieve()
+        return out
 
     return score
 
