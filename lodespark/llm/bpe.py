@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.common import docs_of
-from lodespark.llm.textkernel import buffers, chunks, expand
+from lodespark.llm.textkernel import buffers, chunks, eased, expand
 
 VOCABULARY = os.environ.get("LODESPARK_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -188,7 +188,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     def run(batches):
         v = Vocabulary(*shared.value)
         encoder, (table, table_off) = Encoder(v), byte_table(v)
-        for b in batches:
+        for b in eased(batches):
             ids, nulls = b.column("doc_id"), b.column("text").is_null().to_numpy(zero_copy_only=False)
             for first, part, off, word, tok_off, flat in encoded(b.column("text"), encoder):
                 size = tok_off[word + 1] - tok_off[word]
@@ -216,7 +216,7 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         encoder, total = Encoder(Vocabulary(*shared.value)), {}
-        for b in batches:
+        for b in eased(batches):
             for _, part, off, word, tok_off, _ in encoded(b.column("text"), encoder):
                 ends = np.concatenate([[0], np.cumsum(tok_off[word + 1] - tok_off[word])])[off]
                 for n, c in zip(*np.unique(np.diff(ends), return_counts=True), strict=True):

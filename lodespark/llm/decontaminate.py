@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.common import cut, docs_of, small
-from lodespark.llm.textkernel import chunks, expand, words
+from lodespark.llm.textkernel import chunks, eased, expand, words
 
 MIN_WORDS = 13
 SHARD_BYTES = 4 << 20
@@ -195,7 +195,7 @@ def _searcher(tests):
     def run(batches):
         t = tests.value
         depth = int(max(t.end - t.at, default=0))
-        for b in batches:
+        for b in eased(batches):
             ids, out = b.column("doc_id").to_numpy(zero_copy_only=False), []
             for first, part in chunks(b.column("text"), SHARD_BYTES):
                 m = matches(part, t, depth)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.common import docs_of
-from lodespark.llm.textkernel import chunks, words
+from lodespark.llm.textkernel import chunks, eased, words
 
 MIN_SCORE = 0.75
 #: licence, the notice's words, and the key phrase in them that can't be missing
@@ -83,7 +83,7 @@ def frequencies(docs: DataFrame, ix: Index) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(len(ix.vocab), np.int64)
-        for b in batches:
+        for b in eased(batches):
             for _, part in chunks(b.column("text")):
                 w = words(part)
                 num = _numbers(w.h, ix.vocab)
@@ -135,7 +135,7 @@ def scan(docs: DataFrame, templates=None, min_score: float = MIN_SCORE) -> DataF
     df = frequencies(docs, ix)
 
     def run(batches):
-        for b in batches:
+        for b in eased(batches):
             ids, out = b.column("doc_id").to_numpy(zero_copy_only=False), []
             for first, part in chunks(b.column("text")):
                 for row, t, start, agree in findings(part, ix, df, min_score):
