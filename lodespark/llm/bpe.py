@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.common import docs_of
-from lodespark.llm.textkernel import buffers, chunks, eased, expand
+from lodespark.llm.textkernel import buffers, chunks, expand, gathered
 
 VOCABULARY = os.environ.get("LODESPARK_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TRIE_BYTES = 12 << 20
+TRIE_BYTES = 8 << 20
 
 
 class Vocabulary(NamedTuple):
@@ -105,6 +105,11 @@ class Encoder:
         count: list[int] = []
         before = b""
         for w in ordered:
+            whole = ranks(w)
+            if whole is not None:
+                out.append(whole)
+                count.append(1)
+                continue
             n = len(w)
             i, m = 0, min(n, len(before))
             if w[:m] == before[:m]:
@@ -128,17 +133,12 @@ class Encoder:
                             break
                     j += 1
                 last[i], back[i] = t, j
-            whole = ranks(w)
-            if whole is not None:
-                out.append(whole)
-                count.append(1)
-            else:
-                k, at = len(out), n
-                while at:
-                    out.append(last[at])
-                    at = back[at]
-                out[k:] = out[k:][::-1]
-                count.append(len(out) - k)
+            k, at = len(out), n
+            while at:
+                out.append(last[at])
+                at = back[at]
+            out[k:] = out[k:][::-1]
+            count.append(len(out) - k)
             before = w
         return np.array(out, np.int32), np.array(count, np.int64)
 
@@ -188,7 +188,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     def run(batches):
         v = Vocabulary(*shared.value)
         encoder, (table, table_off) = Encoder(v), byte_table(v)
-        for b in eased(batches):
+        for b in gathered(batches, TRIE_BYTES):
             ids, nulls = b.column("doc_id"), b.column("text").is_null().to_numpy(zero_copy_only=False)
             for first, part, off, word, tok_off, flat in encoded(b.column("text"), encoder):
                 size = tok_off[word + 1] - tok_off[word]
@@ -216,7 +216,7 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches):
         encoder, total = Encoder(Vocabulary(*shared.value)), {}
-        for b in eased(batches):
+        for b in gathered(batches, TRIE_BYTES):
             for _, part, off, word, tok_off, _ in encoded(b.column("text"), encoder):
                 ends = np.concatenate([[0], np.cumsum(tok_off[word + 1] - tok_off[word])])[off]
                 for n, c in zip(*np.unique(np.diff(ends), return_counts=True), strict=True):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 48 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def docs_of(docs: DataFrame, *more: str) -> DataFrame:

@@ -73,6 +73,19 @@ def eased(batches) -> Iterator[pa.RecordBatch]:
         relieve()
 
 
+def gathered(batches, limit: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches put together until they hold limit bytes."""
+    parts, size = [], 0
+    for b in eased(batches):
+        parts.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            parts, size = [], 0
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def flat(col: pa.Array | pa.ChunkedArray) -> pa.Array:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
