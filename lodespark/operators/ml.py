@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodespark.operators.curate import folds
 from lodespark.operators.metrics import auc_by
+from lodespark.sources.shared import cut
 
 
 def logistic(features: list[str], label: str = "label") -> Pipeline:
@@ -48,7 +49,7 @@ def scored(model: Pipeline, train: DataFrame, test: DataFrame, label: str = "lab
 
 def out_of_fold(df: DataFrame, model: Pipeline, key: str, label: str = "label", k: int = 5) -> DataFrame:
     """df with the score of each row under the model fitted to the other folds."""
-    parts = folds(df, label, key, k).cache()
+    parts = cut(folds(df, label, key, k))
     out = None
     for i in range(k):
         one = scored(model, parts.filter(F.col("fold") != i), parts.filter(F.col("fold") == i), label)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodespark.functions import answers, logits, prompts, tokens
 from lodespark.operators import curate, metrics
 from lodespark.sources.remote import call_model
+from lodespark.sources.shared import cut
 
 Model = Callable[[], Callable[[dict], dict]]
 
@@ -86,7 +87,8 @@ def synthesise(df: DataFrame, model: Model, branch: str, name: str, done: DataFr
 def judge(df: DataFrame, level_model: Model, rating_model: Model) -> DataFrame:
     """df with masj_complexity and masj_rating; questions whose level can't be read aren't rated (rating 0)."""
     one = call_model(df.withColumn("prompt", prompts.level_prompt(F.col("question"))), level_model, "response string")
-    one = one.withColumn("masj_complexity", answers.judge_level(F.col("response"))).drop("response", "error", "prompt").cache()
+    one = one.withColumn("masj_complexity", answers.judge_level(F.col("response"))).drop("response", "error", "prompt")
+    one = cut(one)  # the model isn't called again for the second question, nor if an executor is lost
     two = call_model(one.filter("masj_complexity IS NOT NULL").withColumn("prompt", prompts.rating_prompt(F.col("question"), F.col("masj_complexity"))), rating_model, "response string")
     two = two.withColumn("masj_rating", F.coalesce(answers.judge_rating(F.col("response")), F.lit(0))).drop("response", "error", "prompt")
     return two.unionByName(one.filter("masj_complexity IS NULL").withColumn("masj_rating", F.lit(0)))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodespark.sources.shared import shared_dir
+
 
 def resume_batch(spark: SparkSession, source: DataFrame, target: str, work: Callable[[DataFrame], DataFrame], key: str) -> int:
     """Does the rows of source that target has no result without error for, and appends the results; how many it did.
@@ -49,6 +52,6 @@ def windowed_counts(events: DataFrame, ts: str, by: list[str], size: str = "1 da
 def run_windowed_counts(spark: SparkSession, folder: str, schema: str, glob: str, by: list[str], name: str) -> DataFrame:
     """windowed_counts of a folder's files as a stream, run to its end in complete mode into the table name."""
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
-    q = windowed_counts(stream, "ts", by).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q = windowed_counts(stream, "ts", by).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
