@@ -1,14 +1,14 @@
-"""What the operators share: column hygiene, size-checked broadcasts and tables cut from their lineage."""
+"""What the operators share: column hygiene and size-checked broadcasts."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.sources.shared import cut
+
+__all__ = ["BATCH_BYTES", "BROADCAST_BYTES", "cut", "docs_of", "small"]
+
 BROADCAST_BYTES = 48 << 20
 BATCH_BYTES = 4 << 20
 
@@ -19,36 +19,13 @@ def docs_of(docs: DataFrame, *more: str) -> DataFrame:
     Texts are long, so the session's Arrow batches are held to BATCH_BYTES, if they may be larger: a batch is in memory
     several times over, in the JVM and in each of an executor's Python workers.
     """
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
+    spark, key = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).filter(F.col("doc_id").isNotNull())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lodespark-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: later steps don't recompute it and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    schema, spark = df.schema, df.sparkSession
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that led here
-    return spark.read.schema(schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if rows * row_bytes is within the limit; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
-
-
-def ascii_space_words(col: Column) -> Column:
-    return F.regexp_extract_all(col, F.lit(r"([^ \t\n\x0B\f\r]+)"), F.lit(1))
