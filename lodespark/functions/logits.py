@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,15 +14,24 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row: used inside another lambda, it would be computed for each
+    element there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def shifted(logits: Column, body: Callable[[Column], Column]) -> Column:
+    """body(logits less their maximum)."""
+    return let(F.array_max(logits), lambda top: let(F.transform(logits, lambda x: x - top), body))
+
+
 def doubles(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double"))
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    z = total(F.transform(logits, lambda x: F.exp(x - top)))
-    return F.transform(e, lambda x: x / z)
+    parts = lambda s: let(F.transform(s, lambda x: F.exp(x)), lambda e: let(total(e), lambda z: F.transform(e, lambda x: x / z)))
+    return shifted(logits, parts)
 
 
 def entropy(logits: Column) -> Column:
@@ -35,8 +46,7 @@ def argmax(a: Column) -> Column:
 
 def cross_entropy(logits: Column, correct: Column) -> Column:
     """-log softmax at the correct place; NULL if there is no such place."""
-    top = F.array_max(logits)
-    return F.log(total(F.transform(logits, lambda x: F.exp(x - top)))) - (F.when(correct >= 0, F.get(logits, correct.cast("int"))) - top)
+    return shifted(logits, lambda s: F.log(total(F.transform(s, lambda x: F.exp(x)))) - F.when(correct >= 0, F.get(s, correct.cast("int"))))
 
 
 def sparse_probabilities(logits: Column, cutoff: float = 1e-5) -> Column:
@@ -57,9 +67,7 @@ def truncated_entropy(logprobs: Column) -> Column:
 
 
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    z = F.log(total(F.transform(logits, lambda x: F.exp(x - top))))
-    return F.transform(logits, lambda x: x - top - z)
+    return shifted(logits, lambda s: let(F.log(total(F.transform(s, lambda x: F.exp(x)))), lambda z: F.transform(s, lambda x: x - z)))
 
 
 def pooled(vectors: Column) -> Column:
@@ -77,5 +85,5 @@ def entropy_at(entropies_json: Column, index: Column) -> Column:
 def token_at(stats_json: Column, index: Column) -> Column:
     """The likeliest token_idx at a place of the JSON stats, the first of equals; NULL outside them."""
     s = F.when(index >= 0, F.get(F.from_json(stats_json, "array<array<struct<token_idx:int,token_prob:double>>>"), index.cast("int")))
-    best = F.array_max(F.transform(s, lambda x: x["token_prob"]))
-    return F.get(F.filter(s, lambda x: x["token_prob"] == best), F.lit(0))["token_idx"]
+    best = F.transform(s, lambda x: x["token_prob"])
+    return F.get(s, (F.array_position(best, F.array_max(best)) - 1).cast("int"))["token_idx"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodespark.functions.logits import total
+from lodespark.functions.logits import let, total
 
 IGNORE = -100
 
@@ -57,8 +57,7 @@ def tail(h: Column, k: int) -> Column:
 def normal_weights(w: Column) -> Column:
     """Clipped weights that sum to one; equal ones if they have no mass."""
     c = clip_weights(w)
-    mass = total(c)
-    return F.transform(c, lambda x: F.when(mass <= 1e-12, F.lit(1.0) / F.size(w)).otherwise(x / mass))
+    return let(total(c), lambda mass: F.transform(c, lambda x: F.when(mass <= 1e-12, F.lit(1.0) / F.size(w)).otherwise(x / mass)))
 
 
 def tail_features(h: Column, w: Column, n: int = 64) -> Column:
