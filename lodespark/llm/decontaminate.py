@@ -19,7 +19,7 @@ from lodespark.llm.common import cut, docs_of, small
 from lodespark.llm.textkernel import chunks, eased, expand, words
 
 MIN_WORDS = 13
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SLICE_BYTES = 16 << 20
 
 

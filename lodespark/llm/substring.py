@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,13 +241,19 @@ def cut_repeats(docs: DataFrame, least: int = MIN_WORDS, seed: int = SEED) -> Da
     if 24 * n + 8 * m <= BROADCAST_BYTES:
         cuts = F.broadcast(cuts)
 
-    @F.arrow_udf("string")
-    def rest(text: pa.Array, pairs: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.decode("utf-8") for x in without(text, pairs.to_pylist())], pa.string())
+    def rest(batches):
+        for b in eased(batches):
+            left = without(b.column(names.index("text")), b.column(len(names)).to_pylist())
+            keep = pa.array([x is not None for x in left])
+            cols = [c.filter(keep) for c in b.columns[:-1]]
+            text = pa.array([x.decode("utf-8") for x in left if x is not None], pa.string())
+            cols[names.index("text")] = text
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                cols[k] = pc.utf8_length(text).cast(cols[k].type)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     ver = F.coalesce(F.crc32(docs["text"].cast("binary")), F.lit(0))
     out = docs.join(cuts, (docs["doc_id"].cast("long") == cuts["__id"]) & (ver == cuts["__ver"]), "left")
-    hit = out.filter(F.col(at).isNotNull()).withColumn("text", rest(F.col("text"), F.col(at))).filter(F.col("text").isNotNull())
-    if "n_chars" in names:
-        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return hit.select(*names).unionByName(out.filter(F.col(at).isNull()).select(*names))
+    hit = out.filter(F.col(at).isNotNull()).select(*names, at).mapInArrow(rest, docs.schema)
+    return hit.unionByName(out.filter(F.col(at).isNull()).select(*names))
