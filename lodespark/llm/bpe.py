@@ -26,7 +26,7 @@ from lodespark.llm.textkernel import buffers, chunks, expand, gathered
 
 VOCABULARY = os.environ.get("LODESPARK_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TRIE_BYTES = 8 << 20
+TRIE_BYTES = 4 << 20
 
 
 class Vocabulary(NamedTuple):
@@ -193,7 +193,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
             for first, part, off, word, tok_off, flat in encoded(b.column("text"), encoder):
                 size = tok_off[word + 1] - tok_off[word]
                 ends = np.concatenate([[0], np.cumsum(size)])[off]
-                step = max(1, len(part) // max(1, int(ends[-1]) >> 21))  # about 2 million tokens at a time
+                step = max(1, len(part) // max(1, int(ends[-1]) >> 18))  # about 262,144 tokens at a time
                 for i in range(0, len(part), step):
                     j = min(len(part), i + step)
                     sl = slice(off[i], off[j])
