@@ -42,6 +42,24 @@ def test_quality_without_labels(spark):
     assert quality.quality_scores(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxic_documents_of_good_quality_are_rejected(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(600):
+        w = good(rng).split()
+        if k % 6 == 0:  # few words among many, once each
+            for bad in rng.sample(["zounds", "knave", "varlet"], 2):
+                w.insert(rng.randrange(len(w)), bad)
+        rows.append((k, " ".join(w)))
+    labels = spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(400)] + [(6, 1, 0), (401, None, 0), (402, None, 1)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
+    held = [k for k in range(600) if k > 402]
+    assert all(got[k].keep == (k % 6 > 0) and got[k].keep == (got[k].p_toxic < quality.TOXIC_FROM) for k in held)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k in got if got[k].keep}
+
+
 def test_scores_follow_the_definition():
     rng = np.random.default_rng(0)
     w = rng.normal(size=1 << quality.BITS).astype(np.float32)
