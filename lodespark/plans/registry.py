@@ -2,7 +2,8 @@
 
 The tables hold no multiple-choice data, so each operator runs on a proxy that Spark and SQL build alike: embeddings as
 logits, documents with labels as scored rows, events by user as token sequences, conversations as chats. Every query
-reads its whole tables.
+reads the rows of its whole tables; masked_token_accuracy and padded_batches take the first 40 words of a text, as their
+SQL does.
 """
 
 from __future__ import annotations
