@@ -200,8 +200,10 @@ def branch_c_input(spark, d):
 @query("SELECT dataset, count(*) AS n, coalesce(sum(n_chars), 0)::BIGINT AS chars FROM (SELECT lang AS dataset, n_chars FROM documents UNION ALL SELECT 'labels', NULL FROM labels) GROUP BY dataset")
 def combined_union(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    parts = {lang: docs.filter(F.col("lang") == lang) for lang in ("de", "en", "es", "fr")}
-    parts["labels"] = table(spark, d, "labels").select("doc_id", "quality")
+    langs = sorted((r.lang for r in docs.select("lang").distinct().collect()), key=str)
+    parts = {lang: docs.filter(F.col("lang").eqNullSafe(lang)) for lang in langs}
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    parts["labels"] = labels.unionByName(parts["labels"], allowMissingColumns=True) if "labels" in parts else labels
     return curate.combined(parts).groupBy("dataset").agg(F.count("*").alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
 
 

@@ -185,3 +185,13 @@ def test_reasoning(spark):
     ck = spark.createDataFrame([("x", 1), ("x", 3), ("y", 2)], "name string, epoch int")
     ex = spark.createDataFrame([("x", 3), ("y", 3), ("z", 3)], "name string, epochs int")
     assert {r.name: r.done for r in pipelines.trained(ck, ex).collect()} == {"x": True, "y": False, "z": False}
+
+
+def test_combined_union_counts_every_language(spark, tmp_path):
+    from lodespark.plans import registry
+
+    docs = [(1, "en", 5), (2, "it", 7), (3, None, 11), (4, "it", None), (5, "labels", 2)]
+    spark.createDataFrame(docs, "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.dataset, r.n, r.chars) for r in registry.QUERIES["combined_union"](spark, str(tmp_path)).collect()}
+    assert got == {("en", 1, 5), ("it", 2, 7), (None, 1, 11), ("labels", 2, 2)}
