@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodespark.sources.shared import cut
 
-__all__ = ["BATCH_BYTES", "BROADCAST_BYTES", "cut", "docs_of", "small"]
+__all__ = ["BATCH_BYTES", "BROADCAST_BYTES", "cut", "docs_of", "free_name", "small"]
 
 BROADCAST_BYTES = 48 << 20
 BATCH_BYTES = 4 << 20
@@ -29,3 +29,11 @@ def docs_of(docs: DataFrame, *more: str) -> DataFrame:
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if rows * row_bytes is within the limit; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it if df has such a column."""
+    have = {c.lower() for c in df.columns}
+    while any(c.startswith(name.lower()) for c in have):
+        name += "_"
+    return name

@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join with a token-group matrix.
 
-Documents are sets of hashed word n-grams (40-bit fingerprints of normalised words; a document of fewer than n words is
-one n-gram of all its words, an empty one is the empty set and matches nothing). The join is exact up to fingerprint
-collisions and has no cap on partners:
+Documents are sets of hashed word n-grams (64-bit fingerprints of normalised words; a document of fewer than n words is
+one n-gram of all its words, an empty one is the empty set and matches nothing). Equal texts are one class, joined once.
+The join is exact up to fingerprint collisions and has no cap on partners:
 
 1. Tokens that HOT_DF documents or more have in their prefixes by hash order are counted over all documents; they come
    last in the global token order (hot, hash). Any order is correct; this one keeps passages that many documents share
@@ -16,9 +16,12 @@ collisions and has no cap on partners:
 3. The tokens of a document's prefix that lie in a group's union are counted over all buckets. All that a pair shares
    besides lies beyond the prefix of that of the two whose prefix ends first, so the count and the longer of the two
    rests bound the overlap; where the bound falls short of what t asks for, the group stays shut.
-4. Groups still in question are bounded once more, by the whole token union as a bitmap of hashed tokens, four bits a
+4. Groups of more than BLOCK documents are cut into blocks, each a group with a union of its own, so no task holds more
+   than two blocks' documents of a group. A pair of documents meets in one block only.
+5. Groups still in question are bounded once more, by the whole token union as a bitmap of hashed tokens, four bits a
    token: at least as many of a document's tokens as it has bits outside the union aren't in it.
-5. Opened groups get the whole token sets and are compared by products of 0/1 matrices.
+6. Opened groups get the whole token sets and are compared by products of 0/1 matrices. What leaves them isn't the pairs
+   but each document's number of links and edges that span what the block links, at most one for each of its documents.
 """
 
 from __future__ import annotations
@@ -30,27 +33,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespark.llm.common import cut, docs_of, small
-from lodespark.llm.textkernel import by_bucket, chunks, eased, from_buckets, inside, mix, ngrams, relieve, words
+from lodespark.llm.common import cut, docs_of, free_name, small
+from lodespark.llm.textkernel import by_bucket, chunks, eased, from_buckets, grouped, inside, mix, ngrams, relieve, words
 
-N_WORDS = 5
-THRESHOLD = 0.4
+N_WORDS = 3
+THRESHOLD = 0.5
 HOT_DF = 8
 HOT_TOKENS = 4_000_000
 BATCH_ROWS = 4096
-_BITS = 40
-_MASK = (1 << _BITS) - 1
+BLOCK = 2048
+#: has a normalised word
+WORDED = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
 def token_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each chunk: first row, offsets, and each document's sorted distinct 40-bit tokens."""
+    """For each chunk: first row, offsets, and each document's sorted distinct tokens."""
     for first, part in chunks(col):
         w = words(part)
         nd = len(part)
         g = ngrams(w.h, n)
         ok = inside(w.off, n, len(w.h))
         doc = w.doc_of()
-        tok, who = g[ok] >> np.uint64(24), doc[: len(g)][ok]
+        tok, who = g[ok], doc[: len(g)][ok]
         size = np.diff(w.off)
         short = np.flatnonzero((size > 0) & (size < n))
         if len(short):
@@ -58,13 +62,15 @@ def token_sets(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndar
             for k in range(n - 1):
                 has = size[short] > k
                 h[has] = h[has] * np.uint64(0xA0761D6478BD642F) + w.h[w.off[short][has] + k]
-            h = mix(h + size[short].astype(np.uint64)) >> np.uint64(24)
-            tok, who = np.concatenate([tok, h]), np.concatenate([who, short])
-        key = np.sort((who.astype(np.uint64) << np.uint64(_BITS)) | tok)
-        if len(key):
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        off = np.searchsorted(key, np.arange(nd + 1, dtype=np.uint64) << np.uint64(_BITS))
-        yield first, off, (key & np.uint64(_MASK))
+            tok, who = np.concatenate([tok, mix(h + size[short].astype(np.uint64))]), np.concatenate([who, short])
+        order = np.argsort(tok)
+        who = who[order].astype(np.uint16 if nd < 1 << 16 else np.uint32)
+        order = order[np.argsort(who, kind="stable")]
+        tok, who = tok[order], np.sort(who, kind="stable")
+        if len(tok):
+            new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (who[1:] != who[:-1])])
+            tok, who = tok[new], who[new]
+        yield first, np.searchsorted(who, np.arange(nd + 1)), tok
 
 
 def _prefix(off: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +86,13 @@ def _slices(batches):
 
 
 def _hot_tokens(docs: DataFrame, n: int, t: float, bits: int) -> np.ndarray:
-    rest = np.uint64(_BITS - bits)
+    """The first 32 + bits bits of the hot tokens; what is hot depends on those alone."""
+    low = np.uint64(32 - bits)
 
     def local(batches):
         for b in _slices(batches):
             tok = np.concatenate([x[_prefix(off, t)[1]] for _, off, x in token_sets(b.column("text"), n)] or [np.zeros(0, np.uint64)])
-            yield by_bucket((tok >> rest).astype(np.int64), [(tok & np.uint64((1 << int(rest)) - 1)).astype(np.uint32)])
+            yield by_bucket((tok >> np.uint64(64 - bits)).astype(np.int64), [(tok >> low).astype(np.uint32)])
 
     def frequent(batches):
         for key, tok in from_buckets(batches, [(np.uint32, 1)], keyed=True):
@@ -93,53 +100,37 @@ def _hot_tokens(docs: DataFrame, n: int, t: float, bits: int) -> np.ndarray:
             at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
             c = np.diff(np.append(at, len(tok)))
             keep = c >= HOT_DF
-            yield pa.RecordBatch.from_arrays([pa.array(tok[at][keep].astype(np.int64) + (key << int(rest))), pa.array(c[keep])], ["token", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(tok[at][keep].astype(np.int64) + (key << 32)), pa.array(c[keep])], ["token", "c"])
 
     counts = docs.select("text").mapInArrow(local, "bucket long, blob binary").repartition("bucket").mapInArrow(frequent, "token long, c long")
     got = cut(counts).orderBy(F.desc("c"), "token").limit(HOT_TOKENS).select("token").toArrow().column(0).to_numpy()
     return np.sort(got.astype(np.uint64))
 
 
-def _is_hot(tok: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    if not len(hot):
+def _among(tok: np.ndarray, some: np.ndarray) -> np.ndarray:
+    if not len(some):
         return np.zeros(len(tok), bool)
-    at = np.searchsorted(hot, tok)
-    at[at == len(hot)] = 0
-    return hot[at] == tok
+    at = np.searchsorted(some, tok)
+    at[at == len(some)] = 0
+    return some[at] == tok
 
 
 _LOG = np.log(2) / 16  # sizes are kept rounded down to powers of 2 ** (1 / 16)
-
-
-def _pack(ids: np.ndarray, *cols: np.ndarray) -> bytes:
-    base = int(ids.min())
-    wide = int(ids.max()) - base >= 2**32
-    head = np.array([len(ids), base, wide], np.int64)
-    return b"".join([head.tobytes(), (ids - base).astype(np.int64 if wide else np.uint32).tobytes(), *[c.tobytes() for c in cols]])
-
-
-def _unpack(blob) -> list[np.ndarray]:
-    n, base, wide = (int(x) for x in np.frombuffer(blob, np.int64, 3))
-    out, at = [], 24
-    for kind in (np.int64 if wide else np.uint32, np.uint32, np.uint32, np.uint8):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += out[-1].nbytes
-    out[0] = out[0].astype(np.int64) + base
-    return out
+_POSTING = [(np.int64, 1), (np.uint64, 1), (np.uint32, 1), (np.uint8, 1)]
 
 
 def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
     """Packed prefix postings (document, token, group, size) by bucket of tokens."""
 
     def run(batches):
-        heavy = hot.value
+        heavy, low = hot.value, np.uint64(32 - bits)
         for b in _slices(batches):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             cols: list[list] = [[], [], []]
             for first, off, tok in token_sets(b.column("text"), n):
                 size = np.diff(off)
                 who, take = _prefix(off, t)
-                late = _is_hot(tok, heavy)
+                late = _among(tok >> low, heavy)
                 if late.any():
                     tok = tok[np.argsort((who.astype(np.int64) << 1) | late, kind="stable")]
                 who = who[take]
@@ -152,30 +143,24 @@ def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
             key = np.sort(tok)
             common = key[1:][key[1:] == key[:-1]]
             at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            shared = _is_hot(tok, common[np.concatenate([[True], common[1:] != common[:-1]])] if len(common) else common) | _is_hot(tok, heavy)
+            shared = _among(tok, common[np.concatenate([[True], common[1:] != common[:-1]])] if len(common) else common) | _among(tok >> low, heavy)
             lead = np.where(shared, np.arange(len(tok)), len(tok))
             lead = np.minimum.reduceat(lead, at)
             lead = np.where(lead == len(tok), at, lead)
             grp = np.repeat((mix(tok[lead]) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(at, len(row))))
-            rep = ids[row]
-            bucket = (tok >> np.uint64(_BITS - bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rep, tok, grp, level, bucket = rep[order], (tok[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), grp[order], level[order], bucket[order]
-            at = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-            blobs = [_pack(rep[i:j], tok[i:j], grp[i:j], level[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            yield by_bucket((tok >> np.uint64(64 - bits)).astype(np.int64), [ids[row], tok, grp, level])
 
-    return docs.mapInArrow(run, "bucket long, blob binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, blob binary")
 
 
 def _meet(rep, tok, grp, level, t: float, room: int = 1 << 19):
     """Columns (document, group, role, count, need) of one bucket. Role 1: the document in its own group, counting tokens
     that another member has; 2: the document against a greater group, counting tokens of that group's union. need is how
     many tokens, over all buckets, the bound asks for at least."""
-    low = tok & np.uint32((1 << 20) - 1)
+    low = (tok & np.uint64((1 << 20) - 1)).astype(np.int64)
     many = np.bincount(low, minlength=1 << 20)[low] > 1  # most tokens occur once
     rep, tok, grp, level = rep[many], tok[many], grp[many], level[many]
-    order = np.argsort((tok.astype(np.uint64) << np.uint64(32)) | grp, kind="stable")
+    order = np.lexsort((grp, tok))
     rep, tok, grp, level = rep[order], tok[order], grp[order], level[order]
     if not len(rep):
         return
@@ -234,13 +219,8 @@ def _met(posts: DataFrame, t: float) -> DataFrame:
     """(doc_id, grp, role) of the cells that the bound leaves open, and of the members they are to be compared with."""
 
     def run(batches):
-        by: dict[int, list] = {}
-        for b in batches:
-            for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob"), strict=True):
-                by.setdefault(k, []).append(blob.as_buffer())
         got, held = [], 0
-        for parts in by.values():
-            cols = [np.concatenate(c) for c in zip(*map(_unpack, parts), strict=True)]
+        for cols in from_buckets(batches, _POSTING):
             for part in _meet(*cols, t):
                 got.append(part)
                 held += len(part[0])
@@ -249,7 +229,7 @@ def _met(posts: DataFrame, t: float) -> DataFrame:
                     held = len(got[0][0])
         if got:
             rows = _summed(got)
-            del got, by
+            del got
             relieve()
             for i in range(0, len(rows[0]), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 17)]) for c in (*rows[:4], rows[4].astype(np.float32))], ["doc_id", "grp", "role", "c", "need"])
@@ -261,24 +241,40 @@ def _met(posts: DataFrame, t: float) -> DataFrame:
     return cells.filter("open").unionByName(members.select("doc_id", "grp", "role", "open")).select("doc_id", "grp", "role")
 
 
-def _bitmaps(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size and a bitmap of each document's token set."""
-
-    def run(batches):
-        for b in eased(batches):
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, off, tok in token_sets(b.column("text"), n):
-                size = np.diff(off)
-                some = np.flatnonzero(size)
-                maps = []
-                for i in some:
-                    width = max(64, 1 << int(4 * size[i] - 1).bit_length())
-                    bits = np.zeros(width, np.uint8)
-                    bits[tok[off[i] : off[i + 1]] & np.uint64(width - 1)] = 1
-                    maps.append(np.packbits(bits).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + some]), pa.array(size[some]), pa.array(maps, pa.binary())], ["doc_id", "size", "bits"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, bits binary")
+def in_blocks(cells: DataFrame, block: int) -> DataFrame:
+    """cells with groups of more than block documents cut into groups of two blocks at most: members of one block, and
+    askers of one (documents of other groups, or members of an earlier block). Role 3: a member for askers only."""
+    large = cut(cells.groupBy("grp").agg(F.count_if(F.col("role") == 1).alias("m"), F.count_if(F.col("role") == 2).alias("a")).filter(F.col("m") + F.col("a") > block))
+    n = large.count()
+    if not n:
+        return cells
+    up = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1)).cast("long")
+    large = large.select("grp", up("m").alias("nb"), up("a").alias("na"))
+    some = cells.join(small(large, n, 24), "grp", "left")
+    i, na, nb, zero = F.pmod(F.xxhash64("doc_id"), F.when(F.col("role") == 1, F.col("nb")).otherwise(F.col("na"))), F.col("na"), F.col("nb"), F.lit(0).cast("long")
+    some = some.withColumn("i", i)
+    i = F.col("i")
+    cell = lambda j, k, role: F.struct(j.alias("j"), k.alias("k"), F.lit(role).cast("long").alias("role"))
+    upto = lambda n, f: F.when(n > 0, F.transform(F.sequence(zero, n - 1), f)).otherwise(F.array().cast("array<struct<j:long,k:long,role:long>>"))
+    member = F.concat(F.array(cell(i, zero, 1)), upto(na - 1 + i, lambda k: cell(i, k + 1, 3)), upto(nb - 1 - i, lambda j: cell(i + 1 + j, na + i, 2)))
+    ask = upto(nb, lambda j: cell(j, i, 2))
+    cut_up = some.filter("nb IS NOT NULL").select("doc_id", "grp", F.explode(F.when(F.col("role") == 1, member).otherwise(ask)).alias("c"))
+    key = F.shiftrightunsigned(F.xxhash64("grp", "c.j", "c.k"), 4) + F.lit(1 << 32)
+    return some.filter("nb IS NULL").select("doc_id", "grp", "role").unionByName(cut_up.select("doc_id", key.alias("grp"), "c.role"))
+
+
+def _asked(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    """docs in cells, with their cells."""
+    need = cells.groupBy("doc_id").agg(F.collect_list(F.col("grp") * 4 + F.col("role")).alias("cells"))
+    rows, distinct = cells.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return docs.join(small(need, rows + 4 * distinct, 16), "doc_id")
+
+
+def _spread(cells: list, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, role and document of each cell of the documents first .. first + n."""
+    some = cells[first : first + n]
+    flat = np.array([c for x in some for c in x], np.int64)
+    return flat >> 2, flat & 3, np.repeat(np.arange(n), [len(x) for x in some])
 
 
 def _fold(bits: np.ndarray, words_: int) -> np.ndarray:
@@ -301,53 +297,68 @@ def _outside(q: list[np.ndarray], m: list[np.ndarray], room: int = 1 << 21) -> n
     return out
 
 
-def _shut(rows: DataFrame, t: float) -> DataFrame:
+def _shut(docs: DataFrame, cells: DataFrame, n: int, t: float) -> DataFrame:
     """The cells whose groups are to be opened, and the members to open them for."""
 
+    def bitmaps(batches):
+        for b in eased(batches):
+            ids, cells_ = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("cells").to_pylist()
+            for first, off, tok in token_sets(b.column("text"), n):
+                size = np.diff(off)
+                maps = []
+                for i in range(len(size)):
+                    width = max(64, 1 << int(4 * size[i] - 1).bit_length()) if size[i] else 64
+                    bits = np.zeros(width, np.uint8)
+                    bits[(tok[off[i] : off[i + 1]] & np.uint64(width - 1)).astype(np.int64)] = 1
+                    maps.append(np.packbits(bits).tobytes())
+                grp, role, at = _spread(cells_, first, len(size))
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(role), pa.array(ids[first + at]), pa.array(size[at]), pa.array([maps[i] for i in at], pa.binary())], ["grp", "role", "doc_id", "size", "bits"])
+
+    def fits(q, sq, m, sm):
+        most = np.minimum(sq[:, None] - _outside(q, m), sm[None, :] - _outside(m, q).T)
+        return most * (1 + t) >= t * (sq[:, None] + sm[None, :]) - 1e-9
+
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in grouped(batches):
             grp, role, ids, size = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(4)]
-            order = np.argsort(grp, kind="stable")
-            at = np.append(np.flatnonzero(np.concatenate([[True], np.diff(grp[order]) != 0])), len(order))
             keep = np.zeros(len(grp), bool)
-            for i, j in zip(at[:-1], at[1:], strict=True):
-                if j - i < 2:
+            for o in _runs(grp, role, ids):
+                mem, ask = o[role[o] != 2], o[role[o] == 2]
+                m = [bits[x] for x in mem]
+                if len(o) < 2 or not len(mem):
                     continue
-                o = order[i:j]
-                mem, ask = o[role[o] == 1], o[role[o] == 2]
-                if not len(mem):
-                    continue
-                if len(mem) > 1:
-                    m = [bits[x] for x in mem]
+                if role[mem[0]] == 1 and len(mem) > 1:
                     for k in range(0, len(mem), 1024):
                         some = slice(k, k + 1024)
-                        most = np.minimum(size[mem[some]][:, None] - _outside(m[some], m), size[mem][None, :] - _outside(m, m[some]).T)
-                        ok = most * (1 + t) >= t * (size[mem[some]][:, None] + size[mem][None, :]) - 1e-9
+                        ok = fits(m[some], size[mem[some]], m, size[mem])
                         ok[np.arange(ok.shape[0]), np.arange(k, k + ok.shape[0])] = False
                         keep[mem[some]] |= ok.any(axis=1)
                 if len(ask):
-                    w = min(len(bits[k]) for k in mem)
-                    union = np.bitwise_or.reduce([_fold(bits[k], w) for k in mem])
+                    w = min(map(len, m))
+                    union = np.bitwise_or.reduce([_fold(x, w) for x in m])
                     most = size[ask] - _outside([bits[k] for k in ask], [union])[:, 0]
                     ask = ask[most * (1 + t) >= t * (size[ask] + size[mem].min()) - 1e-9]
                 for k in range(0, len(ask), 256):
                     some = ask[k : k + 256]
-                    q, m = [bits[x] for x in some], [bits[x] for x in mem]
-                    most = np.minimum(size[some][:, None] - _outside(q, m), size[mem][None, :] - _outside(m, q).T)
-                    ok = most * (1 + t) >= t * (size[some][:, None] + size[mem][None, :]) - 1e-9
+                    ok = fits([bits[x] for x in some], size[some], m, size[mem])
                     keep[some[ok.any(axis=1)]] = True
                     keep[mem[ok.any(axis=0)]] = True
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(grp[keep]), pa.array(role[keep])], ["doc_id", "grp", "role"])
 
-    def whole(batches):
-        rows_ = [b for b in batches if b.num_rows]
-        if rows_:
-            yield from run([pa.Table.from_batches(rows_).combine_chunks().to_batches()[0]])
+    rows = _asked(docs.select("doc_id", "text"), cells).mapInArrow(bitmaps, "grp long, role long, doc_id long, size long, bits binary")
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "doc_id long, grp long, role long")
+
 
-    return rows.select("grp", "role", "doc_id", "size", "bits").repartition("grp").mapInArrow(whole, "doc_id long, grp long, role long")
+def _runs(grp: np.ndarray, role: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of each group, one of each document: a row of docs that is there twice counts once."""
+    order = np.lexsort((ids, role, grp))
+    g, r, i = grp[order], role[order], ids[order]
+    order = order[np.concatenate([[True], (g[1:] != g[:-1]) | (r[1:] != r[:-1]) | (i[1:] != i[:-1])])] if len(order) else order
+    g = grp[order]
+    at = np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g)) if len(g) else np.zeros(1, np.int64)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield order[a:b]
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray], block: int = 512, width: int = 8192) -> np.ndarray:
@@ -378,98 +389,161 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray], block: int = 512, width:
 
 
 def _open(ids, roles, sets, t: float):
-    """Pairs of one group: member with member, and document of another group with member, if the union's bound allows."""
+    """Pairs of one group, as places in ids, with their Jaccard: member with member, and document of another group or
+    block with member, if the union's bound allows."""
     sizes = np.array([len(s) for s in sets])
-    mem, ask = np.flatnonzero(roles == 1), np.flatnonzero(roles == 2)
+    mem, ask = np.flatnonzero(roles != 2), np.flatnonzero(roles == 2)
     if not len(mem):
         return
+    both = roles[mem[0]] == 1
     if len(ask):
         union = np.unique(np.concatenate([sets[i] for i in mem]))
-        least = sizes[mem].min()
-        bound = np.array([_is_hot(sets[i], union).sum() for i in ask])
-        ask = ask[bound * (1 + t) >= t * (sizes[ask] + least) - 1e-9]
-    if len(mem) > 1 or len(ask):
-        rows = np.concatenate([mem, ask])
-        for i in range(0, len(rows), 2048):
-            for j in range(0, len(mem), 2048):
-                r, c = rows[i : i + 2048], mem[j : j + 2048]
-                ov = _overlaps([sets[k] for k in r], [sets[k] for k in c])
-                jac = ov / np.maximum(1, sizes[r][:, None] + sizes[c][None, :] - ov)
-                x, y = np.nonzero(jac >= t)
-                a, b, s = ids[r[x]], ids[c[y]], jac[x, y]
-                ok = np.where(roles[r[x]] == 1, a < b, a != b)
-                a, b, s = a[ok], b[ok], s[ok]
-                yield np.minimum(a, b), np.maximum(a, b), s
-
-
-def _verify(docs: DataFrame, met: DataFrame, n: int, t: float) -> DataFrame:
-    need = met.groupBy("doc_id").agg(F.collect_list(F.col("grp") * 4 + F.col("role")).alias("cells"))
-    stats = met.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    joined = docs.join(small(need, stats[0] + 4 * stats[1], 16), "doc_id")
+        bound = np.array([_among(sets[i], union).sum() for i in ask])
+        ask = ask[bound * (1 + t) >= t * (sizes[ask] + sizes[mem].min()) - 1e-9]
+    rows = np.concatenate([mem, ask]) if both else ask
+    for i in range(0, len(rows), 2048):
+        for j in range(0, len(mem), 2048):
+            r, c = rows[i : i + 2048], mem[j : j + 2048]
+            ov = _overlaps([sets[k] for k in r], [sets[k] for k in c])
+            jac = ov / np.maximum(1, sizes[r][:, None] + sizes[c][None, :] - ov)
+            x, y = np.nonzero(jac >= t)
+            s = jac[x, y]
+            x, y = r[x], c[y]
+            ok = (roles[x] == 2) | (ids[x] < ids[y])
+            yield x[ok], y[ok], s[ok]
+
+
+def _lowest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of n places the least one that links (x, y) connect it with."""
+    low = np.arange(n)
+    while len(x):
+        m = np.minimum(low[x], low[y])
+        np.minimum.at(low, low[x], m)
+        np.minimum.at(low, low[y], m)
+        low = low[low]
+        go = low[x] != low[y]
+        x, y = x[go], y[go]
+    while True:
+        nxt = low[low]
+        if np.array_equal(nxt, low):
+            return low
+        low = nxt
+
+
+def _verify(docs: DataFrame, cells: DataFrame, n: int, t: float, pairs: bool) -> DataFrame:
+    """a, b, v: all pairs with their Jaccard, or (pairs false) the weighed links v of a, where a = b, and edges (a, b) that
+    span all pairs, with v 0."""
 
     def sets(batches):
         for b in eased(batches):
-            ids, cells = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("cells").to_pylist()
+            ids, m, cells_ = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("m").to_numpy(zero_copy_only=False), b.column("cells").to_pylist()
             for first, off, tok in token_sets(b.column("text"), n):
-                rows: list[list] = [[], [], []]
-                low, high = tok.astype(np.uint32), (tok >> np.uint64(32)).astype(np.uint8)
-                for i in range(len(off) - 1):
-                    blob = low[off[i] : off[i + 1]].tobytes() + high[off[i] : off[i + 1]].tobytes()
-                    for c in cells[first + i]:
-                        rows[0].append(c)
-                        rows[1].append(ids[first + i])
-                        rows[2].append(blob)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(rows[0], np.int64) >> 2), pa.array(np.array(rows[0], np.int64) & 3), pa.array(np.array(rows[1], np.int64)), pa.array(rows[2], pa.binary())], ["grp", "role", "doc_id", "tokens"])
-
-    def pairs(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        grp, role, ids = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in rows]) for k in range(3))
-        blobs = [x.as_buffer() for b in rows for x in b.column(3)]
-        order = np.argsort(grp, kind="stable")
-        at = np.append(np.flatnonzero(np.concatenate([[True], np.diff(grp[order]) != 0])), len(order))
-        got = []
-        for i, j in zip(at[:-1], at[1:], strict=True):
-            if j - i < 2:
-                continue
-            o = order[i:j]
-            sets_ = []
-            for k in o:
-                m = len(blobs[k]) // 5
-                sets_.append(np.frombuffer(blobs[k], np.uint32, m).astype(np.uint64) | (np.frombuffer(blobs[k], np.uint8, m, 4 * m).astype(np.uint64) << np.uint64(32)))
-            for p in _open(ids[o], role[o], sets_, t):
-                got.append(p)
-                if sum(len(x[0]) for x in got) > 1 << 17:
-                    yield _pairs(got)
-                    got = []
-        if got:
-            yield _pairs(got)
-
-    return joined.mapInArrow(sets, "grp long, role long, doc_id long, tokens binary").repartition("grp").mapInArrow(pairs, "doc_a long, doc_b long, jaccard double")
-
-
-def _pairs(got) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in range(3)], ["doc_a", "doc_b", "jaccard"])
+                grp, role, at = _spread(cells_, first, len(off) - 1)
+                blobs = [tok[off[i] : off[i + 1]].tobytes() for i in range(len(off) - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(role), pa.array(ids[first + at]), pa.array(m[first + at]), pa.array([blobs[i] for i in at], pa.binary())], ["grp", "role", "doc_id", "m", "tokens"])
+
+    def compare(batches):
+        for b in grouped(batches):
+            grp, role, ids, m = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            blobs, out, held = b.column(4), [], 0
+            for o in _runs(grp, role, ids):
+                if len(o) < 2:
+                    continue
+                own, weight, links = ids[o], m[o], np.zeros(len(o), np.int64)
+                xs, ys = [], []
+                for x, y, s in _open(own, role[o], [np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in o], t):
+                    if pairs:
+                        out.append((np.minimum(own[x], own[y]), np.maximum(own[x], own[y]), s))
+                        held += len(x)
+                        if held > 1 << 17:
+                            yield _triples(out)
+                            out, held = [], 0
+                        continue
+                    links += (np.bincount(x, weights=weight[y], minlength=len(o)) + np.bincount(y, weights=weight[x], minlength=len(o))).astype(np.int64)
+                    low = _lowest(len(o), x, y)
+                    far = np.flatnonzero(low != np.arange(len(o)))
+                    xs.append(far)
+                    ys.append(low[far])
+                if xs:
+                    low = _lowest(len(o), np.concatenate(xs), np.concatenate(ys))
+                    some, far = np.flatnonzero(links), np.flatnonzero(low != np.arange(len(o)))
+                    out += [(own[some], own[some], links[some].astype(float)), (own[far], own[low[far]], np.zeros(len(far)))]
+            if out:
+                yield _triples(out)
+
+    joined = _asked(docs, cells)
+    rows = joined.select("doc_id", "text", "m", "cells").mapInArrow(sets, "grp long, role long, doc_id long, m long, tokens binary")
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(compare, "a long, b long, v double")
+
+
+def _triples(got) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[k] for g in got])) for k in range(3)], ["a", "b", "v"])
+
+
+def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal texts that have a word: key (a hash of the text), m (its rows), first (its least doc_id); and
+    one row of each class: doc_id (the key), text, m. A class's rows are pre-aggregated before they are shuffled."""
+    some = docs_of(docs).filter(F.col("text").rlike(WORDED)).withColumn("key", F.xxhash64("text"))
+    classes = cut(some.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("first")))
+    copied = classes.filter("m > 1").select("key", "m")
+    copied = small(copied, copied.count(), 16)
+    one = cut(some.join(copied, "key").select(F.col("key").alias("doc_id"), "text", "m").dropDuplicates(["doc_id"]))
+    alone = some.join(copied, "key", "left_anti").select(F.col("key").alias("doc_id"), "text", F.lit(1).cast("long").alias("m"))
+    return classes, alone.unionByName(one)
+
+
+def _compared(texts: DataFrame, n: int, t: float, pairs: bool) -> DataFrame:
+    spark = texts.sparkSession
+    size = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    bits = max(8, min(16, (8 * size - 1).bit_length()), (size - 1).bit_length())
+    hot = spark.sparkContext.broadcast(_hot_tokens(texts, n, t, bits))
+    cells = in_blocks(_met(_postings(texts, n, t, bits, hot), t), BLOCK)
+    return _verify(texts, cut(_shut(texts, cells, n, t)), n, t, pairs)
 
 
 def jaccard_pairs(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs doc_a < doc_b whose n-gram sets have Jaccard >= threshold (> 0): doc_a, doc_b, jaccard.
+    """All pairs of different texts whose n-gram sets have Jaccard >= threshold (> 0): doc_a < doc_b, jaccard.
 
-    Null and empty texts match nothing. Rows without doc_id are left out. A doc_id that occurs in several rows never
-    pairs with itself; a pair is listed once, with the greatest Jaccard of its rows. Extra columns are ignored. An empty
-    table gives no rows.
+    A text stands under the least doc_id of its rows. Null and empty texts match nothing. Rows without doc_id are left
+    out. Texts that share their least doc_id don't pair; if two doc_ids pair by several texts, the greatest Jaccard is
+    listed. Extra columns are ignored. An empty table gives no rows. Its rows may grow with the square of a group of
+    near copies: near_copies() has no such growth.
     """
-    spark = docs.sparkSession
-    docs = docs_of(docs)
-    bits = min(16, max(8, int(np.ceil(np.log2(8 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))))))
-    hot = spark.sparkContext.broadcast(_hot_tokens(docs, n, threshold, bits))
-    met = _met(_postings(docs, n, threshold, bits, hot), threshold)
-    met = cut(_shut(met.join(_bitmaps(docs, n), "doc_id"), threshold))
-    pairs = _verify(docs, met, n, threshold)
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return pairs
-    return pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    classes, texts = _texts(docs)
+    pairs = _compared(texts, n, threshold, True)
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("key").alias(side), F.col("first").alias(f"doc_{side}")), side)
+    least, most = F.least("doc_a", "doc_b"), F.greatest("doc_a", "doc_b")
+    return pairs.filter("doc_a <> doc_b").groupBy(least.alias("doc_a"), most.alias("doc_b")).agg(F.max("v").alias("jaccard"))
+
+
+def _linked(docs: DataFrame, n: int, t: float) -> DataFrame:
+    """key, m, first, links (to rows of other texts) and root (a key of its connected component) of each text that has a
+    link or a copy."""
+    classes, texts = _texts(docs)
+    found = cut(_compared(texts, n, t, False))
+    links = found.filter("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("v").cast("long").alias("links"))
+    roots = components(found.filter("a <> b").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))).select(F.col("doc_id").alias("key"), "root")
+    out = classes.join(links, "key", "left").join(roots, "key", "left").filter("m > 1 OR links IS NOT NULL")
+    return cut(out.select("key", "m", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root")))
+
+
+def near_copies(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links for each document, that is, row of docs, that has a link.
+
+    Two documents are linked if their n-gram sets have Jaccard >= threshold (> 0); those of equal texts are. n_links
+    counts all of a document's links; class_id is the least doc_id of its connected component. No pair is left out of
+    either, but pairs aren't listed, so there is one row for each document, whatever the size of its class.
+
+    A document without a link is in a class of its own and not listed; those of null and empty texts never have one.
+    Rows without doc_id are left out. Repeated rows are documents and link to each other. Extra columns are ignored. An
+    empty table gives no rows.
+    """
+    linked = _linked(docs, n, threshold)
+    names = linked.groupBy("root").agg(F.min("first").alias("class_id"))
+    of_text = linked.join(small(names, names.count(), 16), "root").select("key", "class_id", (F.col("m") - 1 + F.col("links")).alias("n_links"))
+    rows = docs_of(docs).select("doc_id", F.xxhash64("text").alias("key"))
+    return rows.join(small(of_text, linked.count(), 24), "key").select("doc_id", "class_id", "n_links")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -495,19 +569,27 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = N_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without near copies: of each connected group of pairs, the least doc_id stays. All columns are kept.
+    """docs without near copies: of each connected group of near_copies() one row stays, that of the least doc_id. All
+    columns are kept.
 
-    Equal texts are one document in the join, so large groups of them cost no pairs. Documents in no pair stay, null
-    texts, texts without a word and rows without doc_id among them.
+    What goes is judged by row, not by doc_id: a text without a near copy stays, whatever doc_id it has. Of rows with
+    equal doc_id and text one stays. Documents in no group stay, null texts, texts without a word and rows without
+    doc_id among them.
     """
-    some = docs_of(docs).filter(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
-    keys = some.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    roots = keys.groupBy("h").agg(F.min("doc_id").alias("root"), F.count("*").alias("c")).filter("c > 1").select("h", "root")
-    copies = keys.join(roots, "h").filter("doc_id <> root").select(F.col("doc_id").alias("__gone"))
-    once = _without(docs, cut(copies.distinct()))
-    near = components(jaccard_pairs(once, n, threshold)).filter("doc_id <> root").select(F.col("doc_id").alias("__gone"))
-    return _without(once, cut(near))
-
+    linked = _linked(docs, n, threshold)
+    kept = linked.groupBy("root").agg(F.min(F.struct("first", "key")).alias("w"))
+    ways = linked.join(small(kept, kept.count(), 24), "root").select("key", F.when(F.col("key") == F.col("w.key"), F.col("first")).alias("stays"))
+    key, stays = free_name(docs, "__key"), free_name(docs, "__stays")
+    ways = cut(ways.select(F.col("key").alias(key), F.col("stays").alias(stays), F.lit(True).alias(key + "s")))
+    known = docs.withColumn(key, F.when(F.col("doc_id").isNotNull() & F.col("text").rlike(WORDED), F.xxhash64(F.col("text").cast("string"))))
+    rows = known.join(small(ways, ways.count(), 17), key, "left")
+    id_ = F.col("doc_id").cast("long")
+    out = rows.filter(F.col(key + "s").isNull() | F.coalesce(id_ == F.col(stays), F.lit(False)))
+    twice = out.filter(F.col(stays).isNotNull()).groupBy(key).count().filter("count > 1").select(key)
+    twice = cut(twice)
+    n_twice = twice.count()
+    if n_twice:  # repeated rows of a doc_id and text
+        twice = small(twice, n_twice, 8)
+        out = out.join(twice, key, "left_anti").select(*docs.columns, key).unionByName(out.join(twice, key, "left_semi").select(*docs.columns, key).dropDuplicates([key]))
+    return out.select(*docs.columns)
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(small(gone, gone.count(), 16), docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -16,15 +16,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_pairs(_read(spark, sf_dir, "documents"))
+    return jaccard.near_copies(_read(spark, sf_dir, "documents"))
 
 
 JACCARD_SQL = rf"""
-WITH w AS (SELECT doc_id, {NORM_WORDS} AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM w WHERE len(w) > 0),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS tok FROM s),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS ov FROM e a JOIN e b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, ov::DOUBLE / (na + nb - ov) AS jaccard FROM p WHERE ov::DOUBLE / (na + nb - ov) >= 0.4
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, {NORM_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT r, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM w WHERE len(w) > 0),
+e AS (SELECT r, len(s) AS n, unnest(s) AS tok FROM s),
+p AS (SELECT a.r AS x, b.r AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS ov FROM e a JOIN e b ON a.tok = b.tok AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT x, y FROM p WHERE ov::DOUBLE / (na + nb - ov) >= 0.5),
+reach AS (SELECT DISTINCT x AS a, x AS b FROM l UNION SELECT reach.a, l.y FROM reach JOIN l ON reach.b = l.x),
+c AS (SELECT a AS r, min(doc_id) AS class_id FROM reach JOIN w ON w.r = reach.b GROUP BY a)
+SELECT doc_id, class_id, n_links FROM w JOIN c USING (r) JOIN (SELECT x AS r, count(*) AS n_links FROM l GROUP BY x) USING (r)
 """
 
 

@@ -211,3 +211,23 @@ def from_buckets(batches, kinds: list[tuple], keyed: bool = False) -> Iterator:
         cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
         yield (key, *cols) if keyed else cols
     relieve()
+
+
+def grouped(batches, key: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups: rows that come sorted by the column of number key are held until their group ends."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        g = b.column(key).to_numpy(zero_copy_only=False)
+        lo = int(np.searchsorted(g, g[-1]))
+        if held and held[-1].column(key)[0].as_py() == g[-1]:
+            held.append(b)
+            continue
+        done = held + [b.slice(0, lo)] * (lo > 0)
+        if done:
+            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+            relieve()
+        held = [b.slice(lo)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from lodespark.llm import jaccard, substring
@@ -19,22 +19,39 @@ def edited(rng, words, rate):
     return [f"e{rng.randrange(10**6)}" if rng.random() < rate else w for w in words]
 
 
-def brute_pairs(rows, n=5, t=0.4):
-    sets = {}
+def brute_links(rows, n=3, t=0.5):
+    """Places in rows of all linked pairs, with their Jaccard."""
+    sets = []
     for i, text in rows:
         w = (text or "").lower().split()
-        if i is not None and w:
-            sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
-    ids = sorted(sets)
+        sets.append(({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}) if i is not None and w else set())
     out = {}
-    for x, a in enumerate(ids):
-        for b in ids[x + 1 :]:
-            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-            if j >= t:
-                out[a, b] = j
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and both / len(sets[a] | sets[b]) >= t:
+                out[b, a] = both / len(sets[a] | sets[b])
     return out
 
 
+def brute_classes(rows, links):
+    """(doc_id, class_id, n_links) of each row that has a link, and the class of each row."""
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(b)] = find(a)
+    members = defaultdict(list)
+    for k in range(len(rows)):
+        members[find(k)].append(k)
+    n = Counter(x for pair in links for x in pair)
+    return sorted((rows[k][0], min(rows[j][0] for j in members[find(k)]), n[k]) for k in n), members
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(5)
@@ -52,44 +69,67 @@ def corpus():
     return rows
 
 
+def near(docs):
+    return sorted(tuple(r) for r in jaccard.near_copies(docs).collect())
+
+
+def test_near_copies_equal_brute_force(spark, corpus):
+    want, _ = brute_classes(corpus, brute_links(corpus))
+    assert near(make(spark, corpus)) == want and len(want) > 40 and max(n for _, _, n in want) > 10
+
+
 def test_pairs_equal_brute_force(spark, corpus):
     got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.jaccard_pairs(make(spark, corpus)).collect()}
-    want = brute_pairs(corpus)
-    assert got.keys() == want.keys() and len(want) > 100
+    first = {}
+    for i, t in sorted((r for r in corpus if r[0] is not None), key=lambda r: r[0]):
+        first.setdefault(t, i)
+    want = {(corpus[a][0], corpus[b][0]): j for (a, b), j in brute_links(corpus).items() if first[corpus[a][1]] == corpus[a][0] and first[corpus[b][1]] == corpus[b][0]}
+    assert got.keys() == want.keys() and len(want) > 20
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
-def test_pairs_with_hot_tokens(spark, corpus, monkeypatch):
-    monkeypatch.setattr(jaccard, "HOT_DF", 2)
-    got = {(r.doc_a, r.doc_b) for r in jaccard.jaccard_pairs(make(spark, corpus)).collect()}
-    assert got == set(brute_pairs(corpus))
+@pytest.mark.parametrize("block,hot", [(3, 2)])
+def test_blocks_and_hot_tokens_lose_no_link(spark, corpus, monkeypatch, block, hot):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HOT_DF", hot)
+    monkeypatch.setattr("lodespark.llm.common.BROADCAST_BYTES", 0)
+    assert near(make(spark, corpus)) == brute_classes(corpus, brute_links(corpus))[0]
 
 
-def test_pairs_edge_cases(spark):
-    assert jaccard.jaccard_pairs(make(spark, [])).count() == 0
-    same = make(spark, [(1, "a b"), (1, "a b"), (2, "A, b!"), (3, "a b c")])
-    assert [(r.doc_a, r.doc_b, r.jaccard) for r in same.transform(jaccard.jaccard_pairs).collect()] == [(1, 2, 1.0)]
-    clash = same.selectExpr("doc_id", "text", "1 AS bucket", "'x' AS blob", "2 AS grp", "3 AS jaccard", "4 AS __gone")
-    assert jaccard.jaccard_pairs(clash).count() == 1
-    assert jaccard.keep_one(clash).columns == clash.columns
+def test_near_copies_of_one_large_group(spark):
+    """All rows in one group, many of them equal: links are counted, not listed."""
+    rng = random.Random(3)
+    base = prose(rng, 80)
+    rows = [(k, " ".join(edited(rng, base, 0.02) if k % 3 else base)) for k in range(240)]
+    assert near(make(spark, rows)) == brute_classes(rows, brute_links(rows))[0]
+
+
+def test_near_copies_edge_cases(spark):
+    assert near(make(spark, [])) == [] and jaccard.jaccard_pairs(make(spark, [])).count() == 0
+    same = make(spark, [(1, "a b"), (1, "a b"), (2, "A, b!"), (3, "a b c"), (4, None), (5, None), (6, ""), (7, ""), (None, "a b")])
+    assert near(same) == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    assert [tuple(r) for r in jaccard.jaccard_pairs(same).collect()] == [(1, 2, 1.0)]
+    clash = same.selectExpr("doc_id", "text", "1 AS bucket", "'x' AS blob", "2 AS grp", "3 AS key", "4 AS __key", "5 AS m")
+    assert near(clash) == near(same)
+    assert jaccard.keep_one(clash).columns == clash.columns and jaccard.keep_one(clash).count() == 7
     long = " ".join(f"x{k}" for k in range(60_000))
-    assert jaccard.jaccard_pairs(make(spark, [(1, long), (2, long + " y")])).count() == 1
+    assert near(make(spark, [(1, long), (2, long + " y")])) == [(1, 1, 1), (2, 1, 1)]
+    ties = [(k, "p q r s") for k in (5, 3, 4)]
+    assert near(make(spark, ties)) == [(3, 3, 2), (4, 3, 2), (5, 3, 2)]
 
 
 def test_keep_one(spark, corpus):
-    kept = [r.doc_id for r in jaccard.keep_one(make(spark, corpus)).collect()]
-    parent = {i: i for i, _ in corpus if i is not None}
+    kept = jaccard.keep_one(make(spark, corpus)).collect()
+    _, members = brute_classes(corpus, brute_links(corpus))
+    want = [min((corpus[k] for k in g), key=lambda r: r[0]) if corpus[g[0]][0] is not None else corpus[g[0]] for g in members.values()]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in brute_pairs(corpus):
-        a, b = sorted((root(a), root(b)))
-        parent[b] = a
-    assert sorted(k for k in kept if k is not None) == sorted(i for i in parent if root(i) == i)
-    assert kept.count(None) == 1
+def test_keep_one_judges_rows_not_ids(spark):
+    a, u = "one two three four", "quite another text here"
+    rows = [(1, a), (5, a), (5, u), (1, a), (None, a), (9, None), (9, None)]
+    got = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(make(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, a), (5, u), (None, a), (9, None), (9, None)], key=str)
 
 
 def test_components_of_a_chain(spark):

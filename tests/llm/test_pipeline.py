@@ -19,11 +19,11 @@ def test_pipeline_equals_brute_force(spark):
     sets = {}
     for i, t in rows.items():
         w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
     root = {i: i for i in rows}
     ids = sorted(rows)
     changed = True
-    pairs = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] & sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.4]
+    pairs = [(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if sets[a] & sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5]
     while changed:
         changed = False
         for a, b in pairs:
