@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodespark.functions import answers
+from lodespark.sources.shared import cut
 
 BROADCAST_ROWS = 2_000_000
 
@@ -33,16 +34,53 @@ def hash_order(key: Column, seed: int = 48271) -> Column:
     return F.pmod(key.cast("long") * F.lit(seed), F.lit(2147483647))
 
 
-def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with the 0-based global rank in name, without moving all rows to one task: rows are sorted by range, counted
-    by partition, and ranked inside their partition on top of the counts before it."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    part = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    part = part.withColumn("__pos", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
-    counts = part.groupBy("__part").agg(F.count("*").alias("__n"))  # one row per partition
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return part.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn(name, F.col("__pos") + F.col("__before")).drop("__part", "__pos", "__before")
+def in_order(df: DataFrame, order: list[Column], part: str, pos: str) -> DataFrame:
+    """df sorted by range, with the number of each row's part and its 0-based place there. The sorted table is written
+    once: range bounds are sampled, so what is computed twice from them needn't agree."""
+    n, at = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), F.col(pos)
+    rows = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(pos, F.monotonically_increasing_id()))
+    return rows.withColumns({part: F.shiftright(at, 33), pos: at.bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Are a and b equal in keys, NULL being equal to NULL?"""
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[k])
+    return out
+
+
+def ranked(df: DataFrame, order: list[Column], name: str, by: list[str] | None = None, size: str | None = None) -> DataFrame:
+    """df with the 0-based rank in name, of all rows or of those of each group in by, and the number of rows ranked
+    together in size, if given.
+
+    Rows don't move to one task: they are sorted by range, counted by part, and ranked inside their part on top of the
+    counts before it. Rows that are equal in order come in any order, each with a rank of its own."""
+    by = by or []
+    rows = in_order(df, [F.col(c).asc() for c in by] + order, "__part", "__pos")
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))  # one row per part
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__pos") + F.col("__before")).drop("__part", "__pos", "__before")
+    if not by:
+        return out.crossJoin(F.broadcast(rows.agg(F.count("*").alias(size)))) if size else out
+    starts = out.groupBy(*by).agg(F.min(name).alias("__start"), F.count("*").alias(size or "__size"))
+    out = out.alias("a").join(sized(starts).alias("b"), same(out, starts, by))
+    return out.select(*[F.col(f"a.{c}") for c in df.columns], (F.col(f"a.{name}") - F.col("__start")).alias(name), *([F.col(size)] if size else []))
+
+
+def quantiles(df: DataFrame, x: Column, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, q0, q1, ..: the interpolated quantiles of x without NULL and NaN, for each group, or in one row for all. They
+    are read off ranks, so no task holds a group's values."""
+    by = by or []
+    some = df.select(*by, x.cast("double").alias("__x")).filter("__x IS NOT NULL AND NOT isnan(__x)")
+    r = ranked(some, [F.col("__x").asc()], "__r", by, "__n")
+    at = [(F.col("__n") - 1) * F.lit(float(p)) for p in shares]
+    near = F.lit(False)
+    for a in at:
+        near = near | F.col("__r").isin(F.floor(a), F.ceil(a))
+    value = lambda place: F.max(F.when(F.col("__r") == place, F.col("__x")))
+    aggs = [(value(F.floor(a)) + (value(F.ceil(a)) - value(F.floor(a))) * F.max(a - F.floor(a))).alias(f"q{k}") for k, a in enumerate(at)]
+    return r.filter(near).groupBy(*by).agg(*aggs)
 
 
 def bands(df: DataFrame, score: str, key: str, k: int = 5, answer: str | None = None) -> DataFrame:
@@ -51,10 +89,7 @@ def bands(df: DataFrame, score: str, key: str, k: int = 5, answer: str | None =
     if answer:
         df = keep_valid_and_known(df, answer)
     s = F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
-    order = [s.asc_nulls_last(), F.col(key).asc()]
-    out = ranked(df, order, "__rank")
-    total = df.agg(F.count("*").alias("__total"))
-    out = out.crossJoin(F.broadcast(total))  # one row
+    out = ranked(df, [s.asc_nulls_last(), F.col(key).asc()], "__rank", size="__total")
     band = F.floor(F.col("__rank") / F.nullif(F.floor(F.col("__total") / k), F.lit(0)))
     return out.withColumn("band", band.cast("int")).filter(F.col("band") < k).drop("__rank", "__total")
 
@@ -62,10 +97,9 @@ def bands(df: DataFrame, score: str, key: str, k: int = 5, answer: str | None =
 def train_test(df: DataFrame, share: float, key: str, by: list[str]) -> DataFrame:
     """split: exactly round(n * share) rows (half to even) of each group are train, the others test; the choice depends
     on the key alone."""
-    w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(hash_order(F.col(key)), F.col(key)))
-    size = F.count(F.lit(1)).over(w)
-    return df.withColumn("split", F.when(rank <= F.bround(size * F.lit(share), 0), "train").otherwise("test"))
+    out = ranked(df, [hash_order(F.col(key)).asc(), F.col(key).asc()], "__rank", by, "__size")
+    train = F.col("__rank") < F.bround(F.col("__size") * F.lit(share), 0)
+    return out.withColumn("split", F.when(train, "train").otherwise("test")).drop("__rank", "__size")
 
 
 def chunks(df: DataFrame, key: str, size: int = 30) -> DataFrame:
@@ -79,19 +113,22 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 48271) -> DataFrame
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
     """fold: stratified by label, 0..k-1."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(F.col(key)), F.col(key))) - 1
-    return df.withColumn("fold", F.pmod(rank, F.lit(k)).cast("int"))
+    out = ranked(df, [hash_order(F.col(key)).asc(), F.col(key).asc()], "__rank", [label])
+    return out.withColumn("fold", F.pmod("__rank", F.lit(k)).cast("int")).drop("__rank")
 
 
-def join_education_levels(df: DataFrame, judge: DataFrame, key: str = "question_id", threshold: int = 9) -> DataFrame:
-    """Inner join with the judge's levels rated at least threshold, encoded as masj_complexity."""
-    right = judge.filter(F.col("masj_rating") >= threshold).select(key, answers.level_score(F.col("masj_complexity")).alias("masj_complexity"))
+def join_education_levels(df: DataFrame, judge: DataFrame, key: str = "question_id", threshold: int = 9, level: str | None = None) -> DataFrame:
+    """Inner join with the judge's levels rated at least threshold, encoded as masj_complexity; the level's name in
+    level, if given."""
+    right = judge.filter(F.col("masj_rating") >= threshold)
+    right = right.select(key, answers.level_score(F.col("masj_complexity")).alias("masj_complexity"), *([F.col("masj_complexity").alias(level)] if level else []))
     return df.join(sized(right), key, "inner")
 
 
-def join_reasoning_steps(df: DataFrame, judge: DataFrame, key: str = "question_id") -> DataFrame:
-    """Inner join with the judged number of reasoning steps (NULL ones go), encoded."""
-    right = judge.dropna(subset=["masj_num_reasoning_steps"]).select(key, answers.steps_score(F.col("masj_num_reasoning_steps")).alias("masj_num_reasoning_steps"))
+def join_reasoning_steps(df: DataFrame, judge: DataFrame, key: str = "question_id", level: str | None = None) -> DataFrame:
+    """Inner join with the judged number of reasoning steps (NULL ones go), encoded; its name in level, if given."""
+    steps = F.col("masj_num_reasoning_steps")
+    right = judge.dropna(subset=["masj_num_reasoning_steps"]).select(key, answers.steps_score(steps).alias("masj_num_reasoning_steps"), *([steps.alias(level)] if level else []))
     return df.join(sized(right), key, "inner")
 
 
@@ -130,3 +167,44 @@ def combined(parts: dict[str, DataFrame]) -> DataFrame:
         one = df.withColumn("dataset", F.lit(name))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
+
+
+def distinct_values(df: DataFrame, col: str) -> DataFrame:
+    """The distinct values of a column, sorted; NULL is one of them and comes first."""
+    return df.select(col).distinct().orderBy(F.col(col).asc_nulls_first())
+
+
+def head(df: DataFrame, order: list[Column], n: int = 5) -> DataFrame:
+    """The first n rows in an order."""
+    return df.orderBy(*order).limit(n)
+
+
+#: What still has to be done: rows for which a kind of work has no result that counts.
+RESUME = {
+    "scored": lambda: F.coalesce(answers.strip(F.col("answer")), F.lit("")) == "",
+    "correct": lambda: ~F.coalesce(F.col("ans_correct"), F.lit(False)),
+    "response": lambda: F.coalesce(F.col("response"), F.lit("")) == "",
+    "judged": lambda: ~(F.coalesce(F.col("masj_complexity").isin(answers.LEVELS), F.lit(False)) & F.coalesce(F.col("masj_rating").between(1, 10), F.lit(False))),
+}
+
+
+def unfinished(df: DataFrame, kind: str) -> DataFrame:
+    """Rows still to be done, by the kind of work: scored (an empty answer), correct (any answer that isn't right, so
+    wrong ones are asked again), response (no response) or judged (no known level, or a rating outside 1..10)."""
+    return df.filter(RESUME[kind]())
+
+
+def with_formatted(df: DataFrame, prompt: Column, name: str = "prompt") -> tuple[DataFrame, DataFrame]:
+    """Rows whose prompt can be formatted (it is not NULL), with it in name; and one row: how many were skipped."""
+    out = df.withColumn(name, prompt)
+    return out.filter(F.col(name).isNotNull()), out.agg(F.count_if(F.col(name).isNull()).alias("skipped"))
+
+
+def answered(df: DataFrame, col: str) -> DataFrame:
+    """Rows with a value in col."""
+    return df.filter(F.col(col).isNotNull())
+
+
+def with_labels(predictions: DataFrame, labels: DataFrame, key: str = "question_id") -> DataFrame:
+    """Predictions with the labels of the same key; predictions without a label go."""
+    return predictions.join(labels, key, "inner")

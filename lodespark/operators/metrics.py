@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespark.operators.curate import in_order, quantiles, same
+
 
 def _num(name: str) -> Column:
     return F.col(name).cast("double")
@@ -13,15 +15,19 @@ def _num(name: str) -> Column:
 def auc_by(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
     """ROC-AUC with half credit for ties, by group: by, auc, n_pos, n_neg; auc is NULL with one class only.
 
-    Rows are first counted by distinct score, so the ranking window sees distinct scores, not rows; NULL and NaN scores
-    don't count. The window is partitioned by group; a group's running sum over its distinct scores is one task.
+    Rows are first counted by distinct score; NULL and NaN scores don't count. The distinct scores are sorted by range,
+    and what lies below a score is summed in its part and over the parts before it, so no task holds a group's scores.
     """
     some = df.filter(F.col(score).isNotNull() & ~F.isnan(_num(score)) & F.col(label).isNotNull())
     y = F.col(label).cast("int")
     cells = some.groupBy(*by, _num(score).alias("__s")).agg(F.sum(y).alias("__p"), F.sum(1 - y).alias("__n"))
-    w = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    cells = in_order(cells, [F.col(c).asc() for c in (*by, "__s")], "__part", "__pos")
+    w = Window.partitionBy("__part", *by).orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__below", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    out = cells.groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum(F.col("__p") * (F.col("__below") + F.col("__n") / 2)).alias("__u"))
+    parts = cells.groupBy(*by, "__part").agg(F.sum("__p").alias("__p"), F.sum("__n").alias("__n"), F.sum(F.col("__p") * (F.col("__below") + F.col("__n") / 2)).alias("__u"))
+    w = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # at most one row per part
+    parts = parts.withColumn("__u", F.col("__u") + F.col("__p") * F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    out = parts.groupBy(*by).agg(F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"), F.sum("__u").alias("__u"))
     return out.select(*by, F.try_divide(F.col("__u"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auc"), "n_pos", "n_neg")
 
 
@@ -59,8 +65,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def describe(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     x = F.when(~F.isnan(_num(col)), _num(col))
-    q = lambda p: F.percentile(x, F.lit(p))
-    return df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(x).alias("max"))
+    out = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantiles(df, x, [0.25, 0.5, 0.75], by)
+    both = out.join(q, same(out, q, by), "left")
+    return both.select(*[out[c] for c in by], "n", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def auto_bins(df: DataFrame, col: str) -> int:
@@ -69,9 +77,10 @@ def auto_bins(df: DataFrame, col: str) -> int:
 
     x = _num(col)
     some = df.filter(x.isNotNull() & ~F.isnan(x))
-    n, lo, hi, q1, q3 = some.agg(F.count("*"), F.min(x), F.max(x), F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75))).first()
+    n, lo, hi = some.agg(F.count("*"), F.min(x), F.max(x)).first()
     if not n or hi == lo:
         return 1
+    q1, q3 = quantiles(some, x, [0.25, 0.75]).first()
     width = 2 * (q3 - q1) / n ** (1 / 3)
     return max(math.ceil(math.log2(n)) + 1, math.ceil((hi - lo) / width) if width else 1)
 

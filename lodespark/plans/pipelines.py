@@ -160,7 +160,7 @@ def reasoning_metrics(df: DataFrame, special: list[str], percentile: float = 0.7
     d = d.withColumn("__kept", tokens.without_special(cut("tokens"), cut("entropies"), cut("attn_importance"), F.array(*[F.lit(s) for s in special]).cast("array<string>")))
     d = d.select(*(keep or []), (~F.col("is_correct")).cast("int").alias("y"), F.col("__kept.h").alias("h"), F.col("__kept.w").alias("w"))
     x = d.select(F.explode("h").alias("x"))
-    thr = x.filter("x IS NOT NULL AND NOT isnan(x)").agg(F.percentile("x", F.lit(percentile)).alias("thr"))
+    thr = curate.quantiles(x, F.col("x"), [percentile]).withColumnRenamed("q0", "thr")
     d = d.crossJoin(F.broadcast(thr))  # one row
     h, w = F.col("h"), F.col("w")
     top = tokens.top_by_weight(h, w, 5)

@@ -2,15 +2,13 @@
 
 The tables hold no multiple-choice data, so each operator runs on a proxy that Spark and SQL build alike: embeddings as
 logits, documents with labels as scored rows, events by user as token sequences, conversations as chats. Every query
-reads the rows of its whole tables; masked_token_accuracy and padded_batches take the first 40 words of a text, as their
-SQL does.
+reads its whole tables and whole texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import array_to_vector  # noqa: F401  (re-exported for users of tail_features)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -329,7 +327,7 @@ def sequences(spark, d):
 
 
 def threshold(spark, d, p: float = 0.75) -> DataFrame:
-    return table(spark, d, "events").filter("event_type <> 'signup' AND NOT isnan(value)").agg(F.percentile("value", F.lit(p)).alias("thr"))
+    return curate.quantiles(table(spark, d, "events").filter("event_type <> 'signup'"), F.col("value"), [p]).withColumnRenamed("q0", "thr")
 
 
 @query("""SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS max FROM events GROUP BY user_id""")
@@ -340,8 +338,8 @@ def describe_events(spark, d):
 
 @query("""SELECT round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.01), 6) AS p1, round(quantile_cont(value, 0.99), 6) AS p99 FROM events""")
 def entropy_percentiles(spark, d):
-    p = lambda x: r6(F.percentile("value", F.lit(x)))
-    return table(spark, d, "events").filter("NOT isnan(value)").agg(p(0.75).alias("p75"), p(0.01).alias("p1"), p(0.99).alias("p99"))
+    q = curate.quantiles(table(spark, d, "events"), F.col("value"), [0.75, 0.01, 0.99])
+    return q.select(r6(F.col("q0")).alias("p75"), r6(F.col("q1")).alias("p1"), r6(F.col("q2")).alias("p99"))
 
 
 @query(f"""WITH {SEQ} SELECT user_id, round(list_avg(h), 6) AS mean, round(list_median(h), 6) AS median, round(list_max(h), 6) AS max, CASE WHEN len(h) >= 5 THEN round(list_avg(h[-5:]), 6) END AS tail5_mean,
@@ -397,18 +395,18 @@ def subsequence(spark, d):
     return df.select("conv_id", "turn", F.coalesce(at, F.lit(-1)).alias("at"), F.size(tokens.answer_slice(F.col("w"), F.lit(1), F.lit(5), n)).alias("sliced"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ' ')[1:40], lambda x: len(x)::INT) AS ids FROM conversations),
+@query("""WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: len(x)::INT) AS ids FROM conversations),
 l AS (SELECT *, list_transform(range(0, len(ids)), lambda i: CASE WHEN i < 3 OR ids[i + 1] = 2 THEN -100 ELSE ids[i + 1] END) AS y FROM t),
 p AS (SELECT conv_id, turn, list_filter(range(2, len(y) + 1), lambda i: y[i] <> -100 AND y[i] <> 4) AS k, y, ids FROM l)
 SELECT (conv_id % 5)::INT AS grp, sum(len(k))::BIGINT AS tokens, round(sum(len(list_filter(k, lambda i: y[i] = ids[i - 1]))) / sum(len(k)), 6) AS accuracy FROM p GROUP BY grp""")
 def masked_token_accuracy(spark, d):
-    ids = F.transform(F.slice(F.split("text", " "), 1, 40), lambda x: F.length(x))
+    ids = F.transform(F.split("text", " "), lambda x: F.length(x))
     df = table(spark, d, "conversations").select((F.col("conv_id") % 5).cast("int").alias("grp"), ids.alias("ids"))
     df = df.withColumn("hits", tokens.shifted_hits(tokens.mask_before(F.col("ids"), F.lit(3), 2), F.col("ids"), 4))
     return metrics.masked_accuracy(df, "hits", ["grp"]).withColumn("accuracy", r6(F.col("accuracy")))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ' ')[1:40], lambda x: len(x)::INT) AS ids FROM conversations),
+@query("""WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda x: len(x)::INT) AS ids FROM conversations),
 m AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS mx FROM t), p AS (SELECT *, (ceil(mx / 8) * 8)::INT AS size FROM m)
 SELECT conv_id, turn, array_to_string(list_concat(list_transform(range(0, size - len(ids)), lambda i: 0), ids), ',') AS padded, array_to_string(list_concat(ids[1:16], list_transform(range(0, 16 - least(16, len(ids))), lambda i: 0)), ',') AS fitted,
 array_to_string(list_concat(list_transform(ids[1:2], lambda i: -100), [7]), ',') AS labels FROM p""")
@@ -416,7 +414,7 @@ def padded_batches(spark, d):
     from pyspark.sql import Window
 
     f = F.col
-    ids = F.transform(F.slice(F.split("text", " "), 1, 40), lambda x: F.length(x))
+    ids = F.transform(F.split("text", " "), lambda x: F.length(x))
     df = table(spark, d, "conversations").select("conv_id", "turn", ids.alias("ids"))
     size = F.ceil(F.max(F.size("ids")).over(Window.partitionBy("conv_id")) / 8) * 8
     join = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
@@ -611,4 +609,4 @@ def ml_oof_auc(spark, d):
     from lodespark.operators import ml
 
     df = attention(spark, d).select("user_id", (F.col("user_id") % 3 == 0).cast("int").alias("label"), *ATTENTION)
-    return ml.fold_auc(df, {"logistic": ml.logistic(ATTENTION), "boosted": ml.boosted(ATTENTION, iterations=10)}, "user_id")
+    return ml.fold_auc(df, {"logistic": ml.logistic(ATTENTION), "boosted": ml.boosted(ATTENTION)}, "user_id")

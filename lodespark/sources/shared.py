@@ -10,20 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master, as in tests, gets a
+    temporary one; on a cluster, whose machines share no such folder, that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lodespark-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: later steps don't recompute it and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    schema, spark = df.schema, df.sparkSession
+    """df written to the shared folder and read again: later steps don't recompute it and survive lost executors. The
+    table is deleted when the application ends, or before that by drop_cuts()."""
+    spark, schema = df.sparkSession, df.schema
+    home = f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
+    path = f"{home}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_exit(spark, home)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that led here
     return spark.read.schema(schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Deletes the tables that this application has cut; what is still to be computed from them can't be any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

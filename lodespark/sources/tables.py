@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,12 +64,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_bands(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
-    """All group{i}_train.tsv and group{i}_test.tsv of a folder, with band and split taken from the names."""
+    """All group{i}_train.tsv and group{i}_test.tsv of a folder, with band and split taken from the names. Each file's
+    columns are matched by its own header's names, as by read_tsv. A folder without such files gives no rows."""
     want = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    raw = spark.read.options(**QUOTED, pathGlobFilter="group*_t*.tsv").schema(T.StructType([T.StructField(f.name, T.StringType()) for f in want.fields])).csv(folder)
-    name = F.col("_metadata.file_name")
-    cols = [(F.when(~F.col(f.name).isin(NA), F.col(f.name)).try_cast(f.dataType)).alias(f.name) for f in want.fields]
-    return raw.select(*cols, F.regexp_extract(name, r"group(\d+)_", 1).cast("int").alias("band"), F.regexp_extract(name, r"_(train|test)\.tsv", 1).alias("split"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "group*_t*.tsv").load(folder).select("path").collect()  # two for each band
+    out = spark.createDataFrame([], T.StructType([*want.fields, T.StructField("band", T.IntegerType()), T.StructField("split", T.StringType())]))
+    for path in sorted(r["path"] for r in files):
+        found = re.search(r"group(\d+)_(train|test)\.tsv$", path)
+        if found:
+            out = out.unionByName(read_tsv(spark, path, want).withColumns({"band": F.lit(int(found[1])), "split": F.lit(found[2])}))
+    return out
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -97,3 +103,15 @@ def last_checkpoint(names: DataFrame, numeric: bool = True) -> DataFrame:
     if not numeric:
         return names.agg(F.max("name").alias("name"))
     return names.agg(F.max_by("name", F.regexp_extract("name", r"(\d+)$", 1).try_cast("long")).alias("name"))
+
+
+def layout(df: DataFrame) -> list[tuple[str, str]]:
+    """(dotted name, type) of all columns and the fields nested in them, arrays of structs included."""
+    def walk(t, name):
+        yield name, t.simpleString()
+        while isinstance(t, T.ArrayType):
+            t = t.elementType
+        for f in t.fields if isinstance(t, T.StructType) else []:
+            yield from walk(f.dataType, f"{name}.{f.name}")
+
+    return [x for f in df.schema.fields for x in walk(f.dataType, f.name)]
