@@ -80,84 +80,141 @@ def test_calibration():
     assert abs(slope - 0.7) < 0.05 and abs(shift + 0.4) < 0.05
 
 
-def test_grams_are_the_bytes_before():
-    texts = ["abcdef", "", "é", "xy"]
-    key, off = hpy.grams(pa.array(texts))
-    want = []
-    for t in texts:
-        b = b"\0" * 4 + t.encode()
-        want += [int.from_bytes(b[i : i + 5], "big") for i in range(len(b) - 4)]
-    assert key.tolist() == want and off.tolist() == [0, 6, 6, 8, 10]
-
-
-def test_counts_are_of_all_documents(spark):
+def test_history_is_the_words_before():
+    w, back, doc = hpy.history(pa.array(["a b c d", "", "b", " a  b\n"]), 3)
+    a, b, c, d = w[:4].tolist()
+    assert w.tolist() == [a, b, c, d, b, a, b] and doc.tolist() == [0, 0, 0, 0, 2, 3, 3]
+    assert back[0].tolist() == [0, a, b, c, 0, 0, a] and back[1].tolist() == [0, 0, a, b, 0, 0, 0]
+
+
+@pytest.mark.parametrize("c,p", [(2, 0.3), (5, 0.2), (16, 0.2), (12, 0.9)])
+def test_seating_has_the_exact_conditional(c, p):
+    """Tables of one dish, against P(t) ~ S_d(c, t) p^t (theta|d)_t; table sizes add up to the customers."""
+    rng, d, s, n = np.random.default_rng(c), 0.8, 1.0, 8000
+    ways = {1: 1.0}
+    for k in range(1, c):
+        nxt = Counter()
+        for t, v in ways.items():
+            nxt[t] += v * (k - d * t)
+            nxt[t + 1] += v
+        ways = nxt
+    chance = {t: v * p**t * math.prod(s + d * k for k in range(t)) for t, v in ways.items()}
+    z = sum(chance.values())
+    seats = hpy.Seats(np.full(n, c), d, rng)
+    seats.fill(np.full(n, c), np.full(n, p))
+    for _ in range(40):
+        seats.sweep(d * rng.gamma(s / d + seats.t) * p, moves=16)
+    for t, v in chance.items():
+        assert abs((seats.t == t).mean() - v / z) < 0.025
+    seats.bring(np.full(n, c - 1), np.full(n, p))
+    sizes = seats.size.reshape(n, c)
+    assert (sizes.sum(axis=1) == c - 1).all() and ((sizes > 0).sum(axis=1) == seats.t).all() and (seats.c == c - 1).all()
+    seats.bring(np.full(n, c), np.full(n, p))
+    assert (seats.size.reshape(n, c).sum(axis=1) == c).all()
+
+
+def test_predictions_sum_to_one():
+    rng = np.random.default_rng(5)
+    voc = hpy.mix(np.arange(1, 41, dtype=np.uint64))
+    seq = voc[rng.zipf(1.5, 5000) % 40]
+    back = np.stack([np.roll(seq, 1), np.roll(seq, 2)])
+    rest = np.bincount((voc[30:] & np.uint64(3)).astype(int), minlength=4)
+    root = hpy.Root(np.sort(voc[:30]), rest, np.array([1, 3] * 8, np.int32), np.zeros(0))
+    root = hpy.seated_root(root._replace(p=root.base()), rng.integers(0, 9000, 34), rng)
+    every = np.array([*voc, *range(4)], np.uint64)  # 0 to 3: the unknown words of the classes
+    for ctx in ((voc[0], voc[1]), (voc[0], 5), (7, 5), (0, 0)):
+        w = np.concatenate([seq, every])
+        b = np.concatenate([back, np.repeat(np.array(ctx, np.uint64)[:, None], len(every), axis=1)], axis=1)
+        lv, mine = hpy.levels(w, b, np.arange(len(w)) < len(seq), root)
+        p, _ = hpy.sample(lv, root, 1, 2, np.random.default_rng(3))
+        assert abs(p[mine][len(seq) :].sum() - 1) < 1e-9
+
+
+class Plain:
+    """A hierarchical Pitman-Yor model seated customer by customer, for comparison."""
+
+    def __init__(self, docs, rng):
+        self.rng, self.vocab = rng, sorted({w for d in docs for w in d})
+        self.tables = {}  # (context, word) -> sizes of tables
+        self.sums = {}  # context -> customers, tables
+        self.seats = [(w, tuple(([None, None] + d)[i : i + 2][::-1])) for d in docs for i, w in enumerate(d)]
+
+    def p(self, ctx, w):
+        if ctx is None:
+            return 1 / (len(self.vocab) + hpy.CLASSES)
+        c, t = self.sums.get(ctx, (0, 0))
+        own, d = self.tables.get((ctx, w), []), hpy.DISCOUNT[len(ctx)]
+        return (sum(own) - d * len(own) + (1 + d * t) * self.p(ctx[:-1] if ctx else None, w)) / (1 + c)
+
+    def move(self, ctx, w, by):
+        if ctx is None:
+            return
+        own, d = self.tables.setdefault((ctx, w), []), hpy.DISCOUNT[len(ctx)]
+        c, t = self.sums.get(ctx, (0, 0))
+        up = ctx[:-1] if ctx else None
+        if by > 0:
+            weights = [n - d for n in own] + [(1 + d * t) * self.p(up, w)]
+            k = self.rng.choices(range(len(weights)), weights)[0]
+            if k == len(own):
+                own.append(0)
+                self.move(up, w, 1)
+                t += 1
+            own[k] += 1
+        else:
+            k = self.rng.choices(range(len(own)), own)[0]
+            own[k] -= 1
+            if not own[k]:
+                own.pop(k)
+                self.move(up, w, -1)
+                t -= 1
+        self.sums[ctx] = (c + by, t)
+
+    def run(self, burn_in, kept):
+        for w, ctx in self.seats:
+            self.move(ctx, w, 1)
+        mean = [0.0] * len(self.seats)
+        for k in range(burn_in + kept):
+            for w, ctx in self.seats:
+                self.move(ctx, w, -1)
+                self.move(ctx, w, 1)
+            if k >= burn_in:
+                mean = [m + self.p(ctx, w) / kept for m, (w, ctx) in zip(mean, self.seats, strict=True)]
+        return mean
+
+
+def test_scores_equal_a_model_seated_customer_by_customer(spark, monkeypatch):
     rng = random.Random(4)
-    texts = ["".join(rng.choice("ab c") for _ in range(rng.randrange(50))) for _ in range(200)] + [None, ""]
-    want = Counter()
-    for t in texts:
-        b = b"\0" * 4 + (t or "").encode()
-        want.update(int.from_bytes(b[i : i + 5], "big") for i in range(len(b) - 4))
-    got = {}
-    for r in hpy.count_grams(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(5)).collect():
-        n = int(np.frombuffer(r.blob, np.int64, 1)[0])
-        got |= dict(zip(np.frombuffer(r.blob, np.uint64, n, 8).tolist(), np.frombuffer(r.blob, np.int64, n, 8 + 8 * n).tolist(), strict=True))
-    assert got == dict(want)
-
-
-def test_seating_has_the_mean_of_a_table_by_table_process():
-    """Expected numbers of tables, against a restaurant in which customers sit down one by one."""
-    rng = np.random.default_rng(3)
-    d, s, p = 0.6, 1.0, 0.2
-    for c in (1, 2, 5, 16):
-        t = hpy.seat(np.full(40_000, c), np.zeros(40_000, np.int64), np.zeros(40_000, np.int64), np.full(40_000, p), d, s, rng)
-        chance = {1: 1.0}
-        for n in range(1, c):
-            nxt = Counter()
-            for k, q in chance.items():
-                new = (s + d * k) * p
-                nxt[k + 1] += q * new / (new + n - d * k)
-                nxt[k] += q * (1 - new / (new + n - d * k))
-            chance = nxt
-        assert abs(t.mean() - sum(k * q for k, q in chance.items())) < 0.03 and t.max() <= c and t.min() == 1
-
-
-def test_probabilities_sum_to_one_over_bytes(spark):
-    docs = spark.createDataFrame([(k, "the cat sat on the mat and the rat ran " * 3) for k in range(20)], DOCS)
-    m = hpy.train(docs)
-    table = hpy.Table(list(m.parts.values()), m.root)
-    for ctx in (b"the ", b"at o", b"\0\0\0\0", b"zzzz", b"zze "):
-        key = np.array([int.from_bytes(ctx + bytes([w]), "big") for w in range(256)], np.uint64)
-        assert abs(np.exp(table.log_probability(key).astype(float)).sum() - 1) < 0.05
-
-
-def test_scores(spark):
+    docs = [[rng.choice(["the", "a"]) if k % 2 else rng.choice(["cat", "dog", "house", "tree", f"x{rng.randrange(40)}"]) for k in range(rng.randrange(5, 30))] for _ in range(40)]
+    docs += docs[:6]
+    mean = Plain(docs, rng).run(20, 60)
+    want, at = [], 0
+    for d in docs:
+        want.append(sum(map(math.log, mean[at : at + len(d)])) / len(d))
+        at += len(d)
+    monkeypatch.setattr(hpy, "KEPT", 30)
+    got = sorted(tuple(r) for r in hpy.score(spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], DOCS)).collect())
+    assert [r[:2] for r in got] == [(k, len(d)) for k, d in enumerate(docs)]
+    gap = np.array([r[2] for r in got]) - want
+    assert abs(gap.mean()) < 0.05 and np.abs(gap).max() < 0.25
+    assert all(abs(r[3] - math.exp(-r[2])) < 1e-3 * r[3] for r in got)
+    once, twice = [r[2] for r in got[6:40]], [r[2] for r in got[:6]]
+    assert np.mean(twice) > np.mean(once) + 0.1
+
+
+def test_scores_of_edge_cases(spark, monkeypatch):
     rng = random.Random(6)
-    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(40))) for k in range(100)]
-    rows += [(200, "zq!7 XK%%% 09 vvv" * 5), (201, None), (202, ""), (None, "alpha"), (0, rows[0][1])]
-    docs = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "1 AS lp", "2 AS bucket")
-    model = hpy.train(docs.filter("doc_id < 200 OR doc_id IS NULL"))
-    one = sorted((tuple(r) for r in hpy.score(docs, model).collect()), key=lambda r: r[0])
-    assert len(one) == 104
-    by = {r[0]: r for r in one}
-    assert by[200][3] > 3 * by[1][3] and by[201][1:] == (0, 0.0, None) and by[202][1:] == (0, 0.0, None)
-    assert all(abs(r[3] - math.exp(-r[2] / r[1])) < 1e-4 for r in one if r[1])
-    sliced = sorted((tuple(r) for r in hpy.score(docs, model, slice_bytes=3000).collect()), key=lambda r: r[0])
-    assert [r[:2] for r in sliced] == [r[:2] for r in one]
-    assert all(abs(a[2] - b[2]) < 1e-3 for a, b in zip(one, sliced, strict=True))
-    assert hpy.score(docs.limit(0)).count() == 0
-
-
-def test_better_than_lower_orders(spark):
-    """The model predicts text like its own better than its root alone, and than a uniform guess."""
-    rng = random.Random(8)
-    make = lambda n: [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30))) for k in range(n)]
-    model = hpy.train(spark.createDataFrame(make(100), DOCS))
-    held = spark.createDataFrame(make(20), DOCS)
-    ppl = [r.perplexity for r in hpy.score(held, model).collect()]
-    root = [r.perplexity for r in hpy.score(held, hpy.Model(model.root, {})).collect()]
-    assert max(ppl) < 2.5 < min(root) < 256
-
-
-@pytest.mark.parametrize("text", ["x" * 300_000])
-def test_long_text(spark, text):
-    assert hpy.score(spark.createDataFrame([(1, text)], DOCS)).first().n_bytes == len(text)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(40))) for k in range(30)]
+    rows += [(200, "zq!7 XK%%% 09 vvv " * 5), (201, None), (202, ""), (203, " \n"), (None, "alpha"), (0, rows[0][1]), (0, "alpha"), (204, "la " * 70_000)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "1 AS lp", "2 AS bucket", "'x' AS key")
+    monkeypatch.setattr(hpy, "CONTEXT_TOKENS", 50)  # contexts told apart by classes
+    monkeypatch.setattr(hpy, "SLICE_TOKENS", 300)
+    monkeypatch.setattr(hpy, "TOP_WORDS", 2)
+    own = sorted(tuple(r) for r in hpy.score(docs).collect())
+    assert len(own) == len(rows) - 1 and own[0][:2] == (0, 1) and own[1] == own[2]
+    by = {r[0]: r for r in own}
+    assert by[201][1:] == by[202][1:] == by[203][1:] == (0, None, None) and by[204][1] == 70_000 and by[204][3] < 2
+    other = {r.doc_id: r for r in hpy.score(docs.filter("doc_id >= 200"), docs.filter("doc_id BETWEEN 1 AND 29")).collect()}
+    assert len(other) == 5 and other[200].perplexity > 100 and other[201].perplexity is None
+    held = hpy.score(docs.filter("doc_id BETWEEN 20 AND 29"), docs.filter("doc_id BETWEEN 1 AND 19")).collect()
+    assert len(held) == 10 and max(r.perplexity for r in held) < 8
+    assert hpy.score(docs.limit(0)).count() == 0 and hpy.score(docs.filter("doc_id = 201"), docs.limit(0)).first().n_words == 0
