@@ -119,7 +119,7 @@ def test_predictions_sum_to_one():
     seq = voc[rng.zipf(1.5, 5000) % 40]
     back = np.stack([np.roll(seq, 1), np.roll(seq, 2)])
     rest = np.bincount((voc[30:] & np.uint64(3)).astype(int), minlength=4)
-    root = hpy.Root(np.sort(voc[:30]), np.arange(30), rest, np.array([1, 3] * 8, np.int32), np.zeros(0))
+    root = hpy.Root(np.sort(voc[:30]), hpy.first_of(np.sort(voc[:30])), np.arange(30), rest, np.array([1, 3] * 8, np.int32), np.zeros(0))
     root = hpy.seated_root(root._replace(p=root.base()), rng.integers(0, 9000, 34), rng)
     every = np.array([*voc, *range(4)], np.uint64)  # 0 to 3: the unknown words of the classes
     for ctx in ((voc[0], voc[1]), (voc[0], 5), (7, 5), (0, 0)):
