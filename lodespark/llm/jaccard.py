@@ -9,13 +9,14 @@ The join is exact up to fingerprint collisions and has no cap on partners:
    out of the prefixes. At most HOT_TOKENS, the most frequent, are kept, as they are broadcast; that changes only how
    many documents are looked at, not the result.
 2. A document's group is the first token of its prefix that is hot or in another document of its batch too (the very
-   first, if there is none), so copies, and documents that share a passage, tend to share a group. The token-group
+   first, if there is none), with a band of sizes 2 ** (BAND / 16) wide, so copies, and documents of one size that share a
+   passage, tend to share a group, and a group's sizes bound an overlap closely. The token-group
    matrix holds, for each prefix token, the groups having it, with the sizes of their members. It is cut into buckets
    of tokens; a bucket sees documents and groups together, so one shuffle of packed postings builds and probes it. A
    pair with Jaccard >= t shares a token of its prefixes, so a document can only match groups that its prefix meets.
 3. The tokens of a document's prefix that lie in a group's union are counted over all buckets. All that a pair shares
-   besides lies beyond the prefix of that of the two whose prefix ends first, so the count and the longer of the two
-   rests bound the overlap; where the bound falls short of what t asks for, the group stays shut.
+   besides lies beyond the prefix that ends first, so the count and the rest of that document bound the overlap (the
+   shorter rest, where both end at one place); where the bound falls short of what t asks for, the group stays shut.
 4. Groups of more than BLOCK documents are cut into blocks, each a group with a union of its own, so no task holds more
    than two blocks' documents of a group. A pair of documents meets in one block only.
 5. Groups still in question are bounded once more, by the whole token union as a bitmap of hashed tokens, four bits a
@@ -42,6 +43,7 @@ HOT_DF = 8
 HOT_TOKENS = 4_000_000
 BATCH_ROWS = 4096
 BLOCK = 2048
+BAND = 2
 #: has a normalised word
 WORDED = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
@@ -116,30 +118,45 @@ def _among(tok: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 
 _LOG = np.log(2) / 16  # sizes are kept rounded down to powers of 2 ** (1 / 16)
-_POSTING = [(np.int64, 1), (np.uint64, 1), (np.uint32, 1), (np.uint8, 1)]
+_POSTING = [(np.int64, 1), (np.uint64, 1), (np.uint32, 1), (np.uint8, 1), (np.uint8, 1)]
+_OPEN = 255  # a prefix that goes on into the hot tokens
+
+
+def _ends(off: np.ndarray, who: np.ndarray, tok: np.ndarray, late: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each document's prefix ends, and what is in it: it goes on to the next of the few places in the order of
+    tokens where prefixes may end, so many end at the same one."""
+    size = np.diff(off)
+    at, some = tok / 2.0**64, np.flatnonzero(size)
+    last = off[:-1][some] + np.bincount(who, weights=take, minlength=len(size)).astype(np.int64)[some] - 1
+    end = np.zeros(len(size), np.uint8)
+    end[some] = np.where(late[last], _OPEN, np.maximum(np.ceil((at[last] - 0.0625) * 8), 0)).astype(np.uint8)
+    stop = end[who]
+    return end, np.where(stop == _OPEN, take, ~late & (at <= 0.0625 + stop / 8))
 
 
 def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
-    """Packed prefix postings (document, token, group, size) by bucket of tokens."""
+    """Packed prefix postings (document, token, group, size, end of the prefix) by bucket of tokens."""
 
     def run(batches):
         heavy, low = hot.value, np.uint64(32 - bits)
         for b in _slices(batches):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[], [], [], []]
             for first, off, tok in token_sets(b.column("text"), n):
                 size = np.diff(off)
                 who, take = _prefix(off, t)
                 late = _among(tok >> low, heavy)
                 if late.any():
-                    tok = tok[np.argsort((who.astype(np.int64) << 1) | late, kind="stable")]
+                    order = np.argsort((who.astype(np.int64) << 1) | late, kind="stable")
+                    tok, late = tok[order], late[order]
+                end, take = _ends(off, who, tok, late, take)
                 who = who[take]
                 level = np.minimum(255, np.floor(np.log(np.maximum(1, size)) / _LOG + 1e-9)).astype(np.uint8)
-                for c, v in zip(cols, (first + who, tok[take], level[who]), strict=True):
+                for c, v in zip(cols, (first + who, tok[take], level[who], end[who]), strict=True):
                     c.append(v)
             if not cols[0] or not sum(map(len, cols[0])):
                 continue
-            row, tok, level = (np.concatenate(c) for c in cols)
+            row, tok, level, end = (np.concatenate(c) for c in cols)
             key = np.sort(tok)
             common = key[1:][key[1:] == key[:-1]]
             at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -147,27 +164,28 @@ def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
             lead = np.where(shared, np.arange(len(tok)), len(tok))
             lead = np.minimum.reduceat(lead, at)
             lead = np.where(lead == len(tok), at, lead)
-            grp = np.repeat((mix(tok[lead]) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(at, len(row))))
-            yield by_bucket((tok >> np.uint64(64 - bits)).astype(np.int64), [ids[row], tok, grp, level])
+            band = (level[at] // BAND).astype(np.uint64) << np.uint64(8) | end[at]
+            grp = np.repeat((mix(tok[lead] + band) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(at, len(row))))
+            yield by_bucket((tok >> np.uint64(64 - bits)).astype(np.int64), [ids[row], tok, grp, level, end])
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, blob binary")
 
 
-def _meet(rep, tok, grp, level, t: float, room: int = 1 << 19):
+def _meet(rep, tok, grp, level, end, t: float, room: int = 1 << 19):
     """Columns (document, group, role, count, need) of one bucket. Role 1: the document in its own group, counting tokens
     that another member has; 2: the document against a greater group, counting tokens of that group's union. need is how
     many tokens, over all buckets, the bound asks for at least."""
     low = (tok & np.uint64((1 << 20) - 1)).astype(np.int64)
     many = np.bincount(low, minlength=1 << 20)[low] > 1  # most tokens occur once
-    rep, tok, grp, level = rep[many], tok[many], grp[many], level[many]
+    rep, tok, grp, level, end = rep[many], tok[many], grp[many], level[many], end[many]
     order = np.lexsort((grp, tok))
-    rep, tok, grp, level = rep[order], tok[order], grp[order], level[order]
+    rep, tok, grp, level, end = rep[order], tok[order], grp[order], level[order], end[order]
     if not len(rep):
         return
     new = np.concatenate([[True], tok[1:] != tok[:-1]])
     run = np.cumsum(new) - 1
     many = np.bincount(run)[run] > 1
-    rep, tok, grp, level = rep[many], tok[many], grp[many], level[many]
+    rep, tok, grp, level, end = rep[many], tok[many], grp[many], level[many], end[many]
     if not len(rep):
         return
     size = np.floor(np.exp(level * _LOG))
@@ -177,11 +195,15 @@ def _meet(rep, tok, grp, level, t: float, room: int = 1 << 19):
     at = np.flatnonzero(first)
     members = np.diff(np.append(at, len(rep)))
     lo, hi = np.minimum.reduceat(size, at), np.maximum.reduceat(most, at)
+    e0, e1 = np.minimum.reduceat(end, at), np.maximum.reduceat(end, at)
     cell_tok, cell_grp = tok[at], grp[at]
     seen = members > 1
 
     def need(who, to):
-        return t / (1 + t) * (size[who] + lo[to]) - t * np.maximum(most[who], hi[to]) - 1e-6
+        x, y, e = most[who], hi[to], end[who]
+        rest = np.where((e == e0[to]) & (e == e1[to]) & (e < _OPEN), np.minimum(x, y), np.maximum(x, y))
+        rest = np.where(e < e0[to], x, np.where(e > e1[to], y, rest))
+        return t / (1 + t) * (size[who] + lo[to]) - t * rest - 1e-6
 
     new = np.concatenate([[True], cell_tok[1:] != cell_tok[:-1]])
     run_end = np.append(np.flatnonzero(new), len(cell_tok))[np.cumsum(new)]
