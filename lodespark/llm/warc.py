@@ -1,14 +1,18 @@
 """WARC archives and a salvage reader.
 
 The reader walks an archive member by member (gzip) or record by record (plain). A record counts only if its version
-line, headers, Content-Length, closing blank lines and payload digest hold, and the gzip member's checksum, if any. After
-a failed check it searches the next place where a valid member or version line begins, goes on from there, and logs the
-bytes between as a quarantined gap. Nothing is held in memory but one record and a window of the archive.
+line, headers, Content-Length, closing blank lines and digests hold, and the gzip member's checksum, if any. Digests may
+be of any usual kind, in base32 or hex; one of the block is of all of it, one of the payload of an HTTP message's entity,
+too. After a failed check it searches the next place where a valid member or version line begins, goes on from there, and
+logs the bytes between as a quarantined gap. The reader holds one record and a window of the archive in memory; a record
+that says it is, or inflates to, more than MAX_RECORD bytes is quarantined as too large. No input makes it raise.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 PAGES_PER_FILE = 256
 FAULT_RATE = 0.04
 WINDOW = 1 << 16
+MAX_RECORD = 1 << 30
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 At = Callable[[int, int], bytes]
 SCHEMA = "kind string, file_no long, offset long, length long, page_id long, url string, html string, reason string"
@@ -31,7 +36,10 @@ def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
     if page_id is not None:
         head.append(f"WARC-Record-ID: <urn:page:{page_id}>")
     if url is not None:
-        head.append("WARC-Target-URI: " + url.encode("unicode_escape").decode())
+        if re.search(r"[\x00-\x1f\x7f\\]|^\s|\s$", url):  # can't stand in a header as it is
+            head.append("X-Escaped-URI: 1")
+            url = re.sub(r"^ | $", r"\\x20", url.encode("unicode_escape").decode())
+        head.append("WARC-Target-URI: " + url)
     if html is None:
         head.append("X-Null-Payload: 1")
     head += [f"WARC-Payload-Digest: sha1:{hashlib.sha1(body).hexdigest()}", f"Content-Length: {len(body)}"]
@@ -63,6 +71,37 @@ def damage(data: bytes, fault: int) -> bytes:
     return b"\x00" * 8 + data[8:] if fault == 4 else data
 
 
+DIGESTS = {"sha1": (hashlib.sha1, 20), "sha256": (hashlib.sha256, 32), "sha512": (hashlib.sha512, 64), "md5": (hashlib.md5, 16)}
+ONCE = {b"content-length", b"warc-type", b"warc-record-id", b"warc-date", b"warc-target-uri"}
+
+
+def entity(body: bytes) -> bytes:
+    """What an HTTP message carries, or the whole body if it is none."""
+    if not body.startswith(b"HTTP/"):
+        return body
+    end = body.find(b"\r\n\r\n")
+    return body[end + 4 :] if end >= 0 else body
+
+
+def holds(digest: bytes, *texts: bytes) -> bool:
+    """Is the digest (kind:value, base32 or hex) that of one of texts? One of an unknown kind or form isn't checked."""
+    kind, _, value = digest.decode("ascii", "replace").partition(":")
+    if kind.strip().lower().replace("-", "") not in DIGESTS:
+        return True
+    make, size = DIGESTS[kind.strip().lower().replace("-", "")]
+    value, want = value.strip(), set()
+    if re.fullmatch(f"[0-9a-fA-F]{{{2 * size}}}", value):
+        want.add(bytes.fromhex(value))
+    if re.fullmatch("[A-Za-z2-7]+=*", value) and len(value.rstrip("=")) == -(-8 * size // 5):
+        bare = value.rstrip("=").upper()
+        want.add(base64.b32decode(bare + "=" * (-len(bare) % 8)))
+    return not want or any(make(t).digest() in want for t in texts)
+
+
+def _length(value: bytes) -> int | None:
+    return int(value) if re.fullmatch(rb"[0-9]{1,18}", value) else None
+
+
 def parse(data: bytes) -> tuple[dict[bytes, bytes], bytes] | str:
     """Headers and payload of a whole record, or what is wrong with it."""
     if not data.startswith(VERSION):
@@ -70,40 +109,51 @@ def parse(data: bytes) -> tuple[dict[bytes, bytes], bytes] | str:
     end = data.find(b"\r\n\r\n")
     if end < 0:
         return "header not closed"
-    head = {}
+    head, last = {}, None
     for line in data[:end].split(b"\r\n")[1:]:
+        if line[:1] in (b" ", b"\t") and last:
+            head[last] += b" " + line.strip()
+            continue
         k, colon, v = line.partition(b":")
         if not colon:
             return "bad header line"
-        k = k.strip().lower()
-        if k in head and k != b"warc-concurrent-to":
+        last = k.strip().lower()
+        if last in head and last in ONCE:
             return "repeated header"  # a record cut off in its header runs into the next one's
-        head[k] = v.strip()
-    size = head.get(b"content-length", b"")
-    if not size.isdigit():
+        head[last] = v.strip()
+    size = _length(head.get(b"content-length", b""))
+    if size is None:
         return "no content length"
-    body, tail = data[end + 4 : end + 4 + int(size)], data[end + 4 + int(size) :]
-    if len(body) < int(size) or tail != b"\r\n\r\n":
+    body, tail = data[end + 4 : end + 4 + size], data[end + 4 + size :]
+    if len(body) < size or tail != b"\r\n\r\n":
         return "length mismatch"
-    digest = head.get(b"warc-payload-digest", b"")
-    if digest.startswith(b"sha1:") and digest[5:].decode("ascii", "replace") != hashlib.sha1(body).hexdigest():
+    if b"warc-block-digest" in head and not holds(head[b"warc-block-digest"], body):
+        return "digest mismatch"
+    if b"warc-payload-digest" in head and not holds(head[b"warc-payload-digest"], body, entity(body)):
         return "digest mismatch"
     return head, body
 
 
 def _gzip_at(at: At, o: int) -> tuple[int, bytes] | str:
-    d, pos, out = zlib.decompressobj(31), o, []
+    d, pos, out, held = zlib.decompressobj(31), o, [], 0
     while not d.eof:
         piece = at(pos, WINDOW)
         if not piece:
             return "member cut off"
-        try:
-            out.append(d.decompress(piece))
-        except zlib.error:
-            return "bad member"
-        if pos == o and not b"".join(out)[:7].startswith(VERSION[: len(b"".join(out)[:7])]):
-            return "no version line"
         pos += len(piece)
+        while piece and not d.eof:
+            try:
+                out.append(d.decompress(piece, 1 << 20))
+            except zlib.error:
+                return "bad member"
+            if not held and out[-1]:
+                out = [b"".join(out)]
+                if len(out[0]) >= len(VERSION) and not out[0].startswith(VERSION):
+                    return "no version line"
+            held += len(out[-1])
+            if held > MAX_RECORD:
+                return "too large"
+            piece = d.unconsumed_tail
     return pos - len(d.unused_data), b"".join(out)
 
 
@@ -116,10 +166,14 @@ def _plain_at(at: At, o: int) -> tuple[int, bytes] | str:
         head += piece
         pos += len(piece)
     end = head.index(b"\r\n\r\n") + 4
-    size = next((v for k, _, v in (x.partition(b":") for x in head[:end].split(b"\r\n")) if k.strip().lower() == b"content-length"), b"").strip()
-    if not size.isdigit():
+    size = _length(next((v for k, _, v in (x.partition(b":") for x in head[:end].split(b"\r\n")) if k.strip().lower() == b"content-length"), b"").strip())
+    if size is None:
         return "no content length"
-    whole = end + int(size) + 4
+    if size > MAX_RECORD:
+        return "too large"
+    whole = end + size + 4
+    if whole > len(head) and at(o + whole - 4, 4) != b"\r\n\r\n":
+        return "length mismatch"  # told without reading what lies between
     return o + whole, at(o, whole)
 
 
@@ -177,11 +231,16 @@ def _row(file_no: int, e: tuple) -> tuple:
     if e[0] == "gap":
         return ("gap", file_no, e[1], e[2], None, None, None, e[3])
     head, body = e[3], e[4]
-    rid = head.get(b"warc-record-id", b"")
-    page = int(rid[10:-1]) if rid.startswith(b"<urn:page:") else None
-    url = head[b"warc-target-uri"].decode("ascii", "replace").encode().decode("unicode_escape") if b"warc-target-uri" in head else None
-    html = None if b"x-null-payload" in head else body.decode("utf-8", "replace")
-    return ("record", file_no, e[1], e[2], page, url, html, None)
+    found = re.fullmatch(rb"<urn:page:(-?[0-9]{1,18})>", head.get(b"warc-record-id", b""))
+    url = head[b"warc-target-uri"].decode("utf-8", "replace") if b"warc-target-uri" in head else None
+    if url is not None and b"x-escaped-uri" in head:
+        try:
+            url = url.encode("ascii").decode("unicode_escape").encode("utf-8", "replace").decode()
+        except UnicodeError:
+            pass  # it stays as it stands
+    text = entity(body) if head.get(b"content-type", b"").lower().startswith(b"application/http") else body
+    html = None if b"x-null-payload" in head else text.decode("utf-8", "replace")
+    return ("record", file_no, e[1], e[2], int(found[1]) if found else None, url, html, None)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -194,10 +253,13 @@ def archives(pages: DataFrame, per_file: int = PAGES_PER_FILE, fault_rate: float
     """file_no, content: the pages written as archives of per_file consecutive page_ids, in page_id order.
 
     Archives of even number are gzip members, the others plain. Repeated rows are written again; rows without page_id
-    go to archive -1. fault_rate damages that share of records, to try the reader.
+    go to archives of negative numbers, about per_file to each. fault_rate damages that share of records, to try the
+    reader.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    pages = pages.withColumn("file_no", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1)))
+    without = -(-pages.filter("page_id IS NULL").count() // per_file) or 1
+    other = F.lit(-1) - F.pmod(F.xxhash64("url", "html"), F.lit(without))
+    pages = pages.withColumn("file_no", F.coalesce(F.floor(F.col("page_id") / per_file), other))
 
     def build(t: pa.Table) -> pa.Table:
         no = t.column("file_no")[0].as_py()

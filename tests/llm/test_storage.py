@@ -1,3 +1,6 @@
+import base64
+import gzip
+import hashlib
 import os
 import random
 
@@ -35,7 +38,7 @@ def pages(rng, n):
 
 def test_whole_archives_round_trip(spark):
     rng = random.Random(1)
-    rows = pages(rng, 70) + [(70, None, None), (71, "u", ""), (None, "n", "x"), (5, "again", "WARC/1.0\r\n\r\n"), (5, "again", "WARC/1.0\r\n\r\n"), (72, "long", "é" * 400_000)]
+    rows = pages(rng, 70) + [(70, None, None), (71, "u", ""), (None, "n", "x"), (73, " a\\x\r\n\x00é", "x"), (5, "again", "WARC/1.0\r\n\r\n"), (5, "again", "WARC/1.0\r\n\r\n"), (72, "long", "é" * 400_000)]
     df = spark.createDataFrame(rows, PAGES).selectExpr("page_id", "url", "html", "1 AS kind", "2 AS file_no")
     got = warc.salvage_pages(df, per_file=16, fault_rate=0.0).collect()
     assert all(r.kind == "record" and r.reason is None for r in got)
@@ -80,6 +83,47 @@ def test_salvage_of_fragments():
         assert read(data, 0, at) + read(data, at, len(data)) == read(data)
 
 
+def standard(k, rng, zipped):
+    """Records as common crawlers write them."""
+    page = f"<p>{k} é</p>".encode() * rng.randrange(1, 40)
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page
+    digest = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{k}>", "WARC-Date: 2020-01-01T00:00:00Z", "WARC-Target-URI: http://a/\\x", "Content-Type: application/http; msgtype=response", "WARC-Concurrent-To: <urn:a>", "WARC-Concurrent-To: <urn:b>", "X-Long: a", "  b", f"WARC-Payload-Digest: sha1:{digest(page)}", f"WARC-Block-Digest: {['sha1:' + digest(block).lower(), 'sha256:' + hashlib.sha256(block).hexdigest().upper(), 'md5:' + hashlib.md5(block).hexdigest(), 'blake9:zz'][k % 4]}", f"Content-Length: {len(block)}"]
+    data = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return (gzip.compress(data) if zipped else data), page.decode()
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_standard_archives_and_mutations(zipped, monkeypatch):
+    rng = random.Random(7)
+    made = [standard(k, rng, zipped) for k in range(12)]
+    data = b"".join(d for d, _ in made)
+    read = lambda data: [warc._row(0, e) for e in warc.salvage(lambda o, n: data[o : o + n], len(data))]
+    rows = read(data)
+    assert [(r[0], r[6]) for r in rows] == [("record", p) for _, p in made] and all(r[5] == "http://a/\\x" and r[4] is None for r in rows)
+    wrong = data.replace(b"<p>3 ", b"<p>4 ", 1)
+    assert zipped or [r[7] for r in read(wrong) if r[0] == "gap"] == ["digest mismatch"]
+    for _ in range(150):
+        bad = bytearray(data)
+        for _ in range(rng.randrange(1, 8)):
+            i = rng.randrange(len(bad))
+            bad[i : i + rng.choice([0, 1, 1, 40])] = rng.choice([b"", b"\xff", b"9" * 30, b"\r\n", b"WARC/1.0\r\n", b"<urn:page:abc>"])
+        rows = read(bytes(bad))
+        assert sum(r[3] for r in rows) == len(bad)
+    huge = b"WARC/1.0\r\nContent-Length: 99999999999999\r\n\r\n"
+    assert [(r[0], r[7]) for r in read(huge + made[0][0])] == [("gap", "too large"), ("record", None)]
+    assert read(b"WARC/1.0\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\n")[0][0] == "gap"
+    monkeypatch.setattr(warc, "MAX_RECORD", 1000)
+    bomb = gzip.compress(b"WARC/1.0\r\n" + b"x" * 10_000_000)
+    assert [(r[0], r[7]) for r in read(bomb)] == [("gap", "too large")]
+
+
+def test_pages_without_an_id(spark):
+    rows = [(None, f"u{k}", "x") for k in range(40)]
+    got = warc.salvage_pages(spark.createDataFrame(rows, PAGES), per_file=8, fault_rate=0.0).collect()
+    assert sorted(r.url for r in got) == sorted(u for _, u, _ in rows) and len({r.file_no for r in got}) > 2
+
+
 def test_read_warc_in_splits(spark, tmp_path):
     rng = random.Random(3)
     rows = pages(rng, 60)
