@@ -42,11 +42,14 @@ def estimate_cross_entropy(df: DataFrame, model: Model, name: str, correct_token
 
 
 def distil_logprobs(df: DataFrame, model: Model) -> DataFrame:
-    """df with distill_answer (the likeliest token), its probability, the truncated entropy and correctness."""
+    """df with distill_answer (the likeliest token), its probability, the truncated entropy and correctness; all NULL
+    where that token is no valid answer, but for field_logprobs."""
     out = call_model(df, model, "field_logprobs array<struct<token:string,logprob:double>>")
     lp = F.transform("field_logprobs", lambda x: x["logprob"])
     best = F.get("field_logprobs", logits.argmax(lp))
-    return out.withColumn("distill_answer", best["token"]).withColumn("distill_answer_prob", F.exp(best["logprob"])).withColumn("distill_entropy", logits.truncated_entropy(lp)).withColumn("distill_ans_correct", answers.answer_correct(F.col("answer_index"), F.col("distill_answer")))
+    valid = lambda c: F.when(answers.is_valid_answer(best["token"]), c)
+    found = {"distill_answer": best["token"], "distill_answer_prob": F.exp(best["logprob"]), "distill_entropy": logits.truncated_entropy(lp), "distill_ans_correct": answers.answer_correct(F.col("answer_index"), best["token"])}
+    return out.withColumns({k: valid(c) for k, c in found.items()})
 
 
 def distil(df: DataFrame, model: Model, correct: Column | None = None) -> DataFrame:
@@ -94,24 +97,50 @@ def judge(df: DataFrame, level_model: Model, rating_model: Model) -> DataFrame:
     return two.unionByName(one.filter("masj_complexity IS NULL").withColumn("masj_rating", F.lit(0)))
 
 
-def standard_analysis(df: DataFrame, judged: DataFrame, model: str, answer: str, correct: str, score: str, bins: int = 10) -> DataFrame:
-    """One long table (part, key, value): counts of unknown answers, the outcome histogram, and ROC-AUC of the score and
-    of both judge labels by category, over rows with a known answer."""
-    unknown = curate.unknown_answers(df, answer).agg(F.count("*").cast("double").alias("value")).select(F.lit("unknown").alias("part"), F.lit("n").alias("key"), "value")
-    known = curate.keep_valid_and_known(df, answer)
-    hist = metrics.histogram(known, score, correct, bins).select(F.lit("histogram").alias("part"), F.concat_ws("/", F.col("bin").cast("string"), F.col(correct).cast("string")).alias("key"), F.col("n").cast("double").alias("value"))
-    out = unknown.unionByName(hist)
-    levels, steps = curate.join_education_levels(known, judged), curate.join_reasoning_steps(known, judged)
-    for data, metric in ((known, score), (levels, "masj_complexity"), (steps, "masj_num_reasoning_steps")):
-        r = metrics.report(data, model, ["base_cluster"], correct, metric)
-        out = out.unionByName(r.select(F.lit(f"auc {metric}").alias("part"), F.col("category").alias("key"), F.round("roc_auc", 6).alias("value")))
+def _part(df: DataFrame, part: str, key: Column, value: Column) -> DataFrame:
+    return df.select(F.lit(part).alias("part"), key.alias("key"), value.cast("double").alias("value"))
+
+
+def _counts(df: DataFrame, part: str, col: str) -> DataFrame:
+    c = metrics.value_counts(df, col)
+    return _part(c, part, F.coalesce(F.col(col).cast("string"), F.lit("NULL")), F.col("n"))
+
+
+def _judged_report(known: DataFrame, judged: DataFrame, model: str, correct: str, score: str, category: str, bins: tuple[int, int, int]) -> DataFrame:
+    """Histograms by outcome and ROC-AUC of the score and of both judge labels, over rows that both tables judge."""
+    d = curate.join_education_levels(known, judged, level="__level")
+    d = cut(curate.join_reasoning_steps(d, judged, level="__steps"))
+    out = None
+    for x, n in zip((score, "masj_complexity", "masj_num_reasoning_steps"), bins, strict=True):
+        h = metrics.histogram(d, x, correct, n)
+        one = _part(h, f"histogram {x}", F.concat_ws("/", F.col("bin").cast("string"), F.col(correct).cast("int").cast("string")), F.col("n"))
+        r = metrics.report(d, model, [category, "__level", "__steps"] if x == score else [], correct, x)
+        one = one.unionByName(_part(r, f"auc {x}", F.col("category"), F.round("roc_auc", 6)))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
-def cot_analysis(df: DataFrame, model: str, correct: str, categories: list[str]) -> DataFrame:
-    """The report over answered rows, scored by the entropy of the answer token, with JSON decoded in the plan."""
-    d = df.filter("ans_token_index <> -1").withColumn("answer_entropy", logits.entropy_at(F.col("entropies"), F.col("ans_token_index")))
-    return metrics.report(d, model, categories, correct, "answer_entropy")
+def standard_analysis(df: DataFrame, judged: DataFrame, model: str, answer: str, correct: str, score: str, category: str = "category", bins: int = 10) -> DataFrame:
+    """One long table (part, key, value): answers counted before and after the filter, the histogram of unknown answers'
+    scores, and, over rows with a known answer that both judge tables have, histograms by outcome of the score and both
+    labels and their ROC-AUC: the score's by category, level and steps, the labels' over all rows."""
+    unknown = curate.unknown_answers(df, answer).withColumn("__all", F.lit(1))
+    known = curate.keep_valid_and_known(df, answer)
+    out = _counts(df, "answers before", answer).unionByName(_counts(known, "answers after", answer))
+    h = metrics.histogram(unknown, score, "__all", bins)
+    out = out.unionByName(_part(h, "histogram unknown", F.col("bin").cast("string"), F.col("n")))
+    return out.unionByName(_judged_report(known, judged, model, correct, score, category, (bins, len(answers.LEVELS), 3)))
+
+
+def cot_analysis(df: DataFrame, judged: DataFrame, model: str, correct: str, letter: Callable[[Column], Column], category: str = "category", bins: int = 10) -> DataFrame:
+    """The same table for chains of thought: rows with an answer token (ans_token_index <> -1), whose answer is the
+    likeliest token there, spelt by letter, and whose score is the entropy there; JSON is decoded in the plan."""
+    at = F.col("ans_token_index")
+    d = df.filter(at != -1)
+    d = d.withColumn("model_answer", letter(logits.token_at(F.col("every_token_info"), at))).withColumn("model_answer_entropy", logits.entropy_at(F.col("entropies"), at))
+    known = curate.keep_valid_and_known(d, "model_answer")
+    out = _counts(df, "answer tokens", "ans_token_index").unionByName(_counts(d, "answers before", "model_answer")).unionByName(_counts(known, "answers after", "model_answer"))
+    return out.unionByName(_judged_report(known, judged, model, correct, "model_answer_entropy", category, (bins, bins, bins)))
 
 
 def evaluation_plan(bands: DataFrame) -> DataFrame:
@@ -172,9 +201,11 @@ def reasoning_metrics(df: DataFrame, special: list[str], percentile: float = 0.7
     return d.select(*(keep or []), "y", *[c.alias(n) for n, c in out.items()])
 
 
-def reasoning_table(df: DataFrame, special: list[str]) -> DataFrame:
-    """The AUC of each metric for telling incorrect rows from correct ones, the best first."""
+def reasoning_table(df: DataFrame, special: list[str], digits: int | None = None) -> DataFrame:
+    """The AUC of each metric, rounded to digits if given, for telling incorrect rows from correct ones, the best first."""
     m = reasoning_metrics(df, special)
+    if digits is not None:
+        m = m.select("y", *[F.round(c, digits).alias(c) for c in m.columns if c != "y"])
     return metrics.metric_table(m, [c for c in m.columns if c != "y"], "y").orderBy(F.desc("auc"), "metric")
 
 

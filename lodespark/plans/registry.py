@@ -553,7 +553,36 @@ def stream_windowed_counts(spark, d):
     return out.withColumn("total", r6(F.col("total"))).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
-@query()
+def hist_sql(part: str, source: str, x: str, bins: int, hue: str | None) -> str:
+    key = f"(bin::VARCHAR || '/' || {hue}::VARCHAR)" if hue else "bin::VARCHAR"
+    return f"""SELECT '{part}' AS part, {key} AS key, count(*)::DOUBLE AS value FROM (SELECT *, CASE WHEN hi = lo THEN 1 ELSE least(floor(({x} - lo) / ((hi - lo) / {bins})) + 1, {bins}) END::INT AS bin
+FROM {source}, (SELECT min({x})::DOUBLE AS lo, max({x})::DOUBLE AS hi FROM {source})) GROUP BY ALL"""
+
+
+def auc_sql(part: str, source: str, x: str, y: str, categories: list[str]) -> str:
+    rows = " UNION ALL ".join([f"SELECT 'ALL' AS col, 'ALL' AS category, {y} AS y, -{x} AS s FROM {source}"] + [f"SELECT '{c}', {c}::VARCHAR, {y}, -{x} FROM {source} WHERE {c} IS NOT NULL" for c in categories])
+    return f"""SELECT '{part}' AS part, category AS key, round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0), 6) AS value
+FROM (SELECT *, rank() OVER (PARTITION BY col, category ORDER BY s) + (count(*) OVER (PARTITION BY col, category, s) - 1) / 2 AS rk FROM ({rows})) GROUP BY col, category HAVING count(*) >= 10 OR col = 'ALL'"""
+
+
+def judged_sql(score: str, bins: tuple[int, int, int]) -> str:
+    out = []
+    for x, n in zip((score, "masj_complexity", "masj_num_reasoning_steps"), bins, strict=True):
+        out += [hist_sql(f"histogram {x}", "j", x, n, "correct"), auc_sql(f"auc {x}", "j", x, "correct", ["category", "lvl", "steps"] if x == score else [])]
+    return " UNION ALL ".join(f"({q})" for q in out)
+
+
+NORMED = """CASE lvl WHEN 'high_school_and_easier' THEN 0.2 WHEN 'undergraduate' THEN 0.4 WHEN 'graduate' THEN 0.6 WHEN 'postgraduate' THEN 0.8 ELSE 0 END::DOUBLE AS masj_complexity,
+CASE steps WHEN 'low' THEN 0.25 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 0.75 ELSE 0 END::DOUBLE AS masj_num_reasoning_steps"""
+_CALL = """h AS (SELECT *, list_transform(range(0, 32), lambda i: ('0x' || substr(sha256(prompt), 2 * i + 1, 2))::INT) AS b FROM p),
+r AS (SELECT *, 'Reasoned ' || b[18] || '. [[' || chr((97 + b[17] % 5)::INT) || ']]' AS response, 't' || b[19] AS thinking, chr((97 + b[17] % 5)::INT) AS letter, list_transform(b[1:16], lambda v: v / 32) AS e FROM h)"""
+_OPTIONS = "chr(10) || chr(10) || 'Options:' || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || 'C. ' || p_name"
+_SYSTEM = f"'You answer questions about ' || p_type || '. ' || $${_P['plain']}$$"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS question_id, p_size, {_SYSTEM} || chr(10) || 'Question: ' || p_name || lower_options AS prompt FROM (SELECT *, chr(10) || chr(10) || 'Options:' || chr(10) || 'a. ' || p_brand || chr(10) || 'b. ' || p_type || chr(10) || 'c. ' || p_name AS lower_options FROM part)),
+{_CALL}, m AS (SELECT *, list_max(e) AS m FROM r), x AS (SELECT *, list_transform(e, lambda v: exp(v - m)) AS x FROM m)
+SELECT question_id, response, letter AS answer, round(-list_sum(list_transform(x, lambda v: v / list_sum(x) * ln(v / list_sum(x) + 1e-12))), 6) AS entropy_value, (list_position(e, m) - 1)::INT AS greedy_token, true AS valid, chr((97 + p_size % 3)::INT) = letter AS correct, NULL::VARCHAR AS error FROM x""")
 def estimate_pipeline(spark, d):
     from lodespark.plans.pipelines import estimate
 
@@ -561,23 +590,58 @@ def estimate_pipeline(spark, d):
     return estimate(p, remote.offline_model())
 
 
-@query()
+_GOLD = "chr((65 + p_size % 3)::INT)"
+_REVIEW = f"""'<|im_start|>system' || chr(10) || {_SYSTEM} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'Question: ' || p_name || {_OPTIONS} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || 'hm ' || p_brand || '<|im_end|>' || chr(10)
+|| '<|im_start|>user' || chr(10) || 'That is wrong; the right option is ' || {_GOLD} || '. Say where the reasoning went astray.' || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_brand, p_type, {_GOLD} AS gold, 'A' AS branch, {_SYSTEM} || chr(10) || 'Question: ' || p_name || {_OPTIONS} AS prompt FROM part
+UNION ALL SELECT p_partkey, p_brand, p_type, {_GOLD}, 'B', 'Question: ' || p_name || {_OPTIONS} || chr(10) || chr(10) || 'Right option: ' || {_GOLD} || chr(10) || 'Explain step by step why it is right.' FROM part
+UNION ALL SELECT p_partkey, p_brand, p_type, {_GOLD}, 'C', {_REVIEW} FROM part), {_CALL}, l AS (SELECT *, CASE WHEN upper(letter) <= 'C' THEN upper(letter) ELSE 'E' END AS up FROM r)
+SELECT branch, p_partkey::VARCHAR AS question_id, gold, p_type AS option_b, CASE WHEN upper(letter) <= 'C' THEN upper(letter) ELSE 'A' END AS answer, CASE WHEN branch = 'A' THEN CASE WHEN upper(letter) <= 'C' THEN upper(letter) ELSE 'A' END = gold END AS is_correct, thinking, response AS raw_response, CASE WHEN branch = 'C' THEN 'B' END AS previous_answer, NULL::VARCHAR AS error FROM l""")
 def synthesis_pipeline(spark, d):
+    """All three branches: answer, explain the right answer, review a wrong one. A letter beyond the options is looked
+    for in the whole text, where the a of "Reasoned" comes first."""
     from lodespark.plans.pipelines import synthesise
 
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question"), F.array("p_brand", "p_type", "p_name").alias("options"), F.col("p_type").alias("subject"), F.lit("").alias("answer"), (F.col("p_size") % 3).alias("answer_index"))
-    return synthesise(p, remote.offline_model(), "A", "offline")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question"), F.array("p_brand", "p_type", "p_name").alias("options"), F.col("p_type").alias("subject"), F.lit("").alias("answer"), (F.col("p_size") % 3).alias("answer_index"), F.lit("B").alias("previous_answer"), F.concat(F.lit("hm "), F.col("p_brand")).alias("previous_thinking"))
+    out = None
+    for branch in "ABC":
+        one = synthesise(p, remote.offline_model(), branch, "offline")
+        one = one.select("input.branch", "input.question_id", "input.gold", F.col("input.options")["B"].alias("option_b"), "output.answer", "output.is_correct", "output.thinking", "output.raw_response", "output.previous_answer", "output.error")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query()
+ANALYSED = """d AS (SELECT doc_id AS question_id, CASE doc_id % 9 WHEN 0 THEN '0' WHEN 1 THEN 'A' WHEN 2 THEN NULL ELSE chr((97 + doc_id % 5)::INT) END AS answer, n_chars::DOUBLE AS entropy, quality AS correct, lang AS category FROM documents JOIN labels USING (doc_id)),
+k AS (SELECT * FROM d WHERE regexp_full_match(answer, '[a-z]'))"""
+
+
+@query(f"""WITH {JUDGED}, {ANALYSED}, u AS (SELECT * FROM d WHERE answer = '0'), j AS (SELECT k.*, lvl, steps, {NORMED} FROM k JOIN levels USING (question_id) WHERE rating >= 9 AND steps IS NOT NULL)
+SELECT 'answers before' AS part, coalesce(answer, 'NULL') AS key, count(*)::DOUBLE AS value FROM d GROUP BY ALL UNION ALL SELECT 'answers after', answer, count(*) FROM k GROUP BY ALL
+UNION ALL ({hist_sql("histogram unknown", "u", "entropy", 10, None)}) UNION ALL {judged_sql("entropy", (10, 4, 3))}""")
 def standard_analysis(spark, d):
     from lodespark.plans.pipelines import standard_analysis
 
     i = F.col("doc_id")
-    df = scored(spark, d).select(i.alias("question_id"), F.char(97 + i % 5).alias("answer"), F.col("n_chars").cast("double").alias("entropy"), F.col("quality").alias("correct"), F.col("lang").alias("base_cluster"))
+    answer = F.when(i % 9 == 0, "0").when(i % 9 == 1, "A").when(i % 9 != 2, F.char(97 + i % 5))
+    df = scored(spark, d).select(i.alias("question_id"), answer.alias("answer"), F.col("n_chars").cast("double").alias("entropy"), F.col("quality").alias("correct"), F.col("lang").alias("category"))
     return standard_analysis(df, _judged(spark, d), "demo", "answer", "correct", "entropy")
 
 
+@query(f"""WITH {JUDGED}, c AS (SELECT doc_id AS question_id, quality AS correct, lang AS category, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE doc_id % 2 END::INT AS pos, CASE WHEN doc_id % 2 = 1 THEN 0.5 ELSE n_chars END::DOUBLE AS model_answer_entropy, CASE WHEN doc_id % 2 = 1 THEN 7 ELSE doc_id % 4 END AS tok FROM documents JOIN labels USING (doc_id)),
+d AS (SELECT *, CASE WHEN tok < 3 THEN chr((97 + tok)::INT) ELSE '?' END AS answer FROM c WHERE pos <> -1), k AS (SELECT * FROM d WHERE answer <> '?'), j AS (SELECT k.*, lvl, steps, {NORMED} FROM k JOIN levels USING (question_id) WHERE rating >= 9 AND steps IS NOT NULL)
+SELECT 'answer tokens' AS part, pos::VARCHAR AS key, count(*)::DOUBLE AS value FROM c GROUP BY ALL UNION ALL SELECT 'answers before', answer, count(*) FROM d GROUP BY ALL UNION ALL SELECT 'answers after', answer, count(*) FROM k GROUP BY ALL UNION ALL {judged_sql("model_answer_entropy", (10, 10, 10))}""")
+def cot_analysis(spark, d):
+    from lodespark.plans.pipelines import cot_analysis
+
+    i = F.col("doc_id")
+    stat = lambda t: F.concat(F.lit('[{"token_idx": '), t.cast("string"), F.lit(', "token_prob": 0.6}, {"token_idx": 9, "token_prob": 0.4}]'))
+    info = F.concat(F.lit("["), stat(i % 4), F.lit(", "), stat(F.lit(7)), F.lit("]"))
+    df = scored(spark, d).select(i.alias("question_id"), F.when(i % 5 == 0, -1).otherwise(i % 2).cast("int").alias("ans_token_index"), info.alias("every_token_info"), F.concat(F.lit("["), F.col("n_chars").cast("string"), F.lit(", 0.5]")).alias("entropies"), F.col("quality").alias("correct"), F.col("lang").alias("category"))
+    return cot_analysis(df, _judged(spark, d), "demo", "correct", lambda t: F.when(t < 3, F.char(97 + t.cast("long"))).otherwise("?"))
+
+
 def token_stats(spark, d):
     """Events by user as evaluated generations: the first two tokens are the prompt."""
     rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value", (F.col("event_id") % 7 - 1).cast("double").alias("w"))))
@@ -597,11 +661,22 @@ def reasoning_metrics(spark, d):
     return m.select("user_id", "y", *[r6(F.col(c)).alias(c) for c in ("unc_mean_ans", "unc_tail10_max", "unc_frac_high_ans")])
 
 
-@query()
+_TAIL_SQL = ", ".join(f"'unc_tail{k}_mean': list_avg(t{k}), 'unc_tail{k}_max': list_max(t{k}), 'unc_tail{k}_median': list_median(t{k})" for k in (1, 2, 3, 5, 10))
+
+
+@query(f"""WITH s AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS t, list(value ORDER BY ts, event_id) AS h, list((event_id % 7 - 1)::DOUBLE ORDER BY ts, event_id) AS w FROM events WHERE user_id % 9 > 0 AND user_id % 7 > 0 GROUP BY user_id HAVING count(*) > 2),
+i AS (SELECT user_id, h, w, list_filter(range(3, len(t) + 1), lambda i: t[i] <> 'signup') AS i FROM s),
+k AS (SELECT user_id, list_transform(i, lambda i: h[i]) AS h, list_transform(i, lambda i: greatest(w[i], 0)) AS c, list_transform(range(1, len(i) + 1), lambda j: {{'n': -w[i[j]], 'i': j, 'h': h[i[j]]}}) AS z FROM i),
+q AS (SELECT k.*, thr, list_sum(c) AS m, list_transform(list_sort(z)[1:5], lambda x: x.h) AS top, {", ".join(f"CASE WHEN len(h) >= {k} THEN h[-{k}:] END AS t{k}" for k in (1, 2, 3, 5, 10))} FROM k, (SELECT quantile_cont(x, 0.75) AS thr FROM (SELECT unnest(h) AS x FROM k))),
+v AS (SELECT (user_id % 3 = 0)::INT AS y, unnest(map_entries(MAP {{'unc_mean_ans': list_avg(h), 'unc_median_ans': list_median(h), 'unc_max_ans': list_max(h), {_TAIL_SQL},
+'unc_attn_mean_ans': CASE WHEN m <= 1e-12 THEN list_avg(h) ELSE list_sum(list_transform(range(1, len(h) + 1), lambda i: h[i] * c[i])) / m END, 'unc_attn_top5_mean': list_avg(top), 'unc_attn_top5_max': list_max(top), 'unc_frac_high_ans': len(list_filter(h, lambda x: x > thr)) / nullif(len(h), 0),
+'unc_frac_attn_high': CASE WHEN m > 1e-12 THEN list_sum(list_transform(range(1, len(h) + 1), lambda i: CASE WHEN h[i] > thr THEN c[i] ELSE 0 END)) / m END}})) AS e FROM q),
+u AS (SELECT y, e.key AS m, round(e.value, 9) AS v FROM v), r AS (SELECT m, y, rank() OVER (PARTITION BY m ORDER BY v) + (count(*) OVER (PARTITION BY m, v) - 1) / 2 AS rk FROM u WHERE v IS NOT NULL)
+SELECT m AS metric, round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) AS auc, count(*) AS n_valid, count(*) FILTER (y = 1) AS n_incorrect, count(*) FILTER (y = 0) AS n_correct FROM r GROUP BY m HAVING count(*) >= 10 AND count(DISTINCT y) = 2""")
 def reasoning_table(spark, d):
     from lodespark.plans.pipelines import reasoning_table
 
-    return reasoning_table(token_stats(spark, d), ["signup"]).withColumn("auc", r6(F.col("auc")))
+    return reasoning_table(token_stats(spark, d), ["signup"], 9).withColumn("auc", r6(F.col("auc")))
 
 
 @query()

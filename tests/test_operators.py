@@ -32,6 +32,35 @@ def test_ranks_are_global(spark):
     assert {r.chunk for r in curate.chunks(df, "k", 30).collect()} == set(range(34))
 
 
+def test_ranks_of_a_large_table_with_payload(spark, tmp_path):
+    n = 1_000_000
+    spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.concat(F.lit("payload "), F.col("id").cast("string")).alias("p"), F.col("id").alias("v")).repartition(5).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = curate.ranked(df, [F.col("k").asc()], "r", size="n").agg(F.count_if(F.col("k") == F.col("r")), F.count_distinct("r"), F.max("n"), F.count_if(F.col("p") == F.concat(F.lit("payload "), F.col("v").cast("string")))).first()
+    assert tuple(got) == (n, n, n, n)
+    b = curate.bands(df.withColumn("s", (F.col("k") / 3).cast("long")), "s", "k", 5).groupBy("band").count().collect()
+    assert sorted(tuple(r) for r in b) == [(k, n // 5) for k in range(5)]
+
+
+def test_quantiles(spark):
+    rows = [(g, x) for g in ("a", None) for x in (5.0, 1.0, 2.0, 2.0, None, float("nan"))] + [("b", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    assert sorted(map(tuple, curate.quantiles(df, F.col("x"), [0.5, 0.9, 1.0], ["g"]).collect()), key=str) == sorted([("a", 2.0, 4.1, 5.0), (None, 2.0, 4.1, 5.0)], key=str)
+    assert tuple(curate.quantiles(df.limit(0), F.col("x"), [0.5]).first()) == (None,)
+    assert tuple(curate.quantiles(df, F.col("x"), [0.0, 0.25]).first()) == (1.0, 1.75)
+
+
+def test_work_still_to_be_done(spark):
+    df = spark.createDataFrame([(1, "a", True, "r", "graduate", 9), (2, " ", False, "", "graduate", 0), (3, None, None, None, "x", 5)], "k int, answer string, ans_correct boolean, response string, masj_complexity string, masj_rating int")
+    left = {kind: sorted(r.k for r in curate.unfinished(df, kind).collect()) for kind in curate.RESUME}
+    assert left == dict.fromkeys(curate.RESUME, [2, 3])
+    ok, skipped = curate.with_formatted(df, F.concat(F.lit("Q: "), "answer"))
+    assert sorted(r.k for r in ok.collect()) == [1, 2] and skipped.first().skipped == 1
+    assert [r.answer for r in curate.distinct_values(df, "answer").collect()] == [None, " ", "a"]
+    assert [r.k for r in curate.head(df, [F.col("k").desc()], 2).collect()] == [3, 2] and curate.answered(df, "answer").count() == 2
+    assert [r.lab for r in curate.with_labels(df.withColumnRenamed("k", "question_id"), spark.createDataFrame([(1, "x"), (9, "y")], "question_id int, lab string")).collect()] == ["x"]
+
+
 def test_joins_and_resume(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "question_id long")
     judge = spark.createDataFrame([(1, "graduate", 9, "low"), (2, "graduate", 8, None), (3, "x", 10, "high")], "question_id long, masj_complexity string, masj_rating int, masj_num_reasoning_steps string")

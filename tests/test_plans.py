@@ -39,7 +39,7 @@ def test_formats(spark, tmp_path):
     for i in range(2):
         for part in ("train", "test"):
             with open(f"{tmp_path}/group{i}_{part}.tsv", "w") as f:
-                f.write(f"k\ts\n{i}\t{part}\n")
+                f.write(f"k\ts\n{i}\t{part}\n" if i else f"s\tother\tk\n{part}\tz\t{i}\n")
     got = tables.read_bands(spark, str(tmp_path), "k long, s string").collect()
     assert sorted((r.k, r.s, r.band, r.split) for r in got) == [(i, p, i, p) for i in range(2) for p in ("test", "train")]
     names = spark.createDataFrame([("checkpoint-99",), ("checkpoint-120",)], "name string")
