@@ -9,8 +9,7 @@ The join is exact up to fingerprint collisions and has no cap on partners:
    out of the prefixes. At most HOT_TOKENS, the most frequent, are kept, as they are broadcast; that changes only how
    many documents are looked at, not the result.
 2. A document's group is the first token of its prefix that is hot or in another document of its batch too (the very
-   first, if there is none), with a band of sizes 2 ** (BAND / 16) wide, so copies, and documents of one size that share a
-   passage, tend to share a group, and a group's sizes bound an overlap closely. The token-group
+   first, if there is none), so copies, and documents that share a passage, tend to share a group. The token-group
    matrix holds, for each prefix token, the groups having it, with the sizes of their members. It is cut into buckets
    of tokens; a bucket sees documents and groups together, so one shuffle of packed postings builds and probes it. A
    pair with Jaccard >= t shares a token of its prefixes, so a document can only match groups that its prefix meets.
@@ -19,7 +18,7 @@ The join is exact up to fingerprint collisions and has no cap on partners:
    shorter rest, where both end at one place); where the bound falls short of what t asks for, the group stays shut.
 4. Groups of more than BLOCK documents are cut into blocks, each a group with a union of its own, so no task holds more
    than two blocks' documents of a group. A pair of documents meets in one block only.
-5. Groups still in question are bounded once more, by the whole token union as a bitmap of hashed tokens, four bits a
+5. Groups still in question are bounded once more, by the whole token union as a bitmap of hashed tokens, two bits a
    token: at least as many of a document's tokens as it has bits outside the union aren't in it.
 6. Opened groups get the whole token sets and are compared by products of 0/1 matrices. What leaves them isn't the pairs
    but each document's number of links and edges that span what the block links, at most one for each of its documents.
@@ -43,7 +42,6 @@ HOT_DF = 8
 HOT_TOKENS = 4_000_000
 BATCH_ROWS = 4096
 BLOCK = 2048
-BAND = 2
 #: has a normalised word
 WORDED = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
@@ -164,8 +162,7 @@ def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
             lead = np.where(shared, np.arange(len(tok)), len(tok))
             lead = np.minimum.reduceat(lead, at)
             lead = np.where(lead == len(tok), at, lead)
-            band = (level[at] // BAND).astype(np.uint64) << np.uint64(8) | end[at]
-            grp = np.repeat((mix(tok[lead] + band) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(at, len(row))))
+            grp = np.repeat((mix(tok[lead]) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(at, len(row))))
             yield by_bucket((tok >> np.uint64(64 - bits)).astype(np.int64), [ids[row], tok, grp, level, end])
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, blob binary")
@@ -329,7 +326,7 @@ def _shut(docs: DataFrame, cells: DataFrame, n: int, t: float) -> DataFrame:
                 size = np.diff(off)
                 maps = []
                 for i in range(len(size)):
-                    width = max(64, 1 << int(4 * size[i] - 1).bit_length()) if size[i] else 64
+                    width = max(64, 1 << int(2 * size[i] - 1).bit_length()) if size[i] else 64
                     bits = np.zeros(width, np.uint8)
                     bits[(tok[off[i] : off[i + 1]] & np.uint64(width - 1)).astype(np.int64)] = 1
                     maps.append(np.packbits(bits).tobytes())
