@@ -59,7 +59,7 @@ def suffix_array(a: np.ndarray, top: int, depth: int) -> tuple[np.ndarray, np.nd
     key = np.zeros(n, np.uint64)
     for k in range(per):
         key <<= np.uint64(bits)
-        key[: n - k] |= a[k:].astype(np.uint64)
+        key[: max(0, n - k)] |= a[k:].astype(np.uint64)
     sa = np.argsort(key)
     skey = key[sa]
     new = np.concatenate([[True], skey[1:] != skey[:-1]])
@@ -167,15 +167,9 @@ def matches(part: pa.Array, t: Tests, depth: int):
     return row, t.item[who], length, place - starts[row], t.at[who] - t.first[who]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """The longest verbatim match of each document and item: doc_id, item_id, match_words, doc_word, item_word.
-
-    Only matches of least normalised words, or of all words of an item that has fewer, are listed; of equal ones the
-    first in the document, then in the item. Null and empty texts and items match nothing; rows without an id are left
-    out; repeated rows count once; extra columns are ignored; empty tables give no rows.
-    """
+def _matched(docs: DataFrame, benchmark: DataFrame, least: int) -> DataFrame:
+    """The matches of docs (doc_id, text, ver) as the search finds them: doc_id, ver, item_id, match_words, doc_word, item_word."""
     spark = docs.sparkSession
-    docs = docs_of(docs)
     items = cut(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct())
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = 1 + int(total) // SLICE_BYTES
@@ -184,8 +178,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_WORDS) -> Data
         part = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
         got = part.orderBy("item_id", "text").toArrow()
         tests = spark.sparkContext.broadcast(tests_of(got.column("item_id").to_numpy().astype(np.int64), got.column("text").combine_chunks(), least))
-        one = docs.mapInArrow(_searcher(tests), "doc_id long, item_id long, match_words long, doc_word long, item_word long")
+        one = docs.mapInArrow(_searcher(tests), "doc_id long, ver long, item_id long, match_words long, doc_word long, item_word long")
         out = one if out is None else out.unionByName(one)
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """The longest verbatim match of each document and item: doc_id, item_id, match_words, doc_word, item_word.
+
+    Only matches of least normalised words, or of all words of an item that has fewer, are listed; of equal ones the
+    first in the document, then in the item. Null and empty texts and items match nothing; rows without an id are left
+    out; repeated rows count once, and rows with one doc_id are one document; extra columns are ignored; empty tables
+    give no rows.
+    """
+    out = _matched(docs_of(docs, F.lit(0).cast("long").alias("ver")), benchmark, least)
     best = F.max(F.struct("match_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i")))
     out = out.groupBy("doc_id", "item_id").agg(best.alias("b"))
     return out.select("doc_id", "item_id", "b.match_words", (-F.col("b.d")).alias("doc_word"), (-F.col("b.i")).alias("item_word"))
@@ -196,18 +202,25 @@ def _searcher(tests):
         t = tests.value
         depth = int(max(t.end - t.at, default=0))
         for b in eased(batches):
-            ids, out = b.column("doc_id").to_numpy(zero_copy_only=False), []
+            ids, vers, out = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("ver").to_numpy(zero_copy_only=False), []
             for first, part in chunks(b.column("text"), SHARD_BYTES):
                 m = matches(part, t, depth)
                 if m is not None:
-                    out.append([ids[first + m[0]], t.ids[m[1]], *m[2:]])
+                    out.append([ids[first + m[0]], vers[first + m[0]], t.ids[m[1]], *m[2:]])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["doc_id", "item_id", "match_words", "doc_word", "item_word"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["doc_id", "ver", "item_id", "match_words", "doc_word", "item_word"])
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """docs without the documents that hold a match; all columns are kept, and rows without doc_id or text stay."""
-    gone = cut(leaks(docs, benchmark, least).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small(gone, gone.count(), 16), docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """docs without the rows that hold a match; all columns are kept.
+
+    Rows are judged, not ids: a row without a match stays, if another of its doc_id goes; repeated rows go or stay
+    together. Rows without doc_id or text, and empty texts, stay; an empty table of either kind changes nothing. An item of
+    fewer than least words, be it a single word, takes every document that holds all of it in a row.
+    """
+    ver = F.xxhash64(F.col("text").cast("string"))
+    gone = cut(_matched(docs_of(docs, ver.alias("ver")), benchmark, least).select(F.col("doc_id").alias("__gone"), F.col("ver").alias("__ver")).distinct())
+    at = (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__ver"])
+    return docs.join(small(gone, gone.count(), 24), at, "left_anti")

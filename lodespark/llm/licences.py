@@ -1,10 +1,11 @@
 """Licence scan with a positional rare-token index.
 
-The index holds the words of each template with their positions. A file looks up, of the licence words it has, the rarest
-first: each template is entered through the rarest word of its mandatory key phrase, by document frequency over all
-files, so a file that holds the phrase always meets the template. Each meeting fixes where the template would begin; the
-postings of the template's other words are intersected at that relative position, and the share that agrees is the
-score. A finding needs MIN_SCORE and the key phrase word for word.
+A file looks up its highest-IDF licence words: the index has a posting (template, position) for the rarest word of each
+template's mandatory key phrase, by document frequency over all files, so a file that holds the phrase always meets the
+template and one without such words costs a table lookup a word, however many templates there are. Each posting met
+fixes where the template would begin. At that relative position the key phrase is verified word for word, and the
+template's other words are intersected with the file's; the share that agrees is the score. A finding needs MIN_SCORE.
+The list of templates (one-line notices, file headers, passages of licence texts, SPDX lines) bounds what is found.
 """
 
 from __future__ import annotations
@@ -37,6 +38,31 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0", "CC BY 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0", "CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "Apache License, Version 2.0"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "deal in the Software without restriction"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "for any purpose with or without fee is hereby granted"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistribution and use in source and binary forms"),
+    ("BSD-3-Clause", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("Zlib", "In no event will the authors be held liable for any damages arising from the use of this software", "the authors be held liable for any damages"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0", "Boost Software License, Version 1.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License, v. 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License 2.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0"),
+    *[
+        (name, f"you can redistribute it and/or modify it under the terms of the {gnu} as published by the Free Software Foundation, either version {version} of the License", f"{gnu} as published by the Free Software Foundation, either version {version}")
+        for name, gnu, version in [
+            ("GPL-2.0", "GNU General Public License", "2"),
+            ("GPL-3.0", "GNU General Public License", "3"),
+            ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+            ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+            ("AGPL-3.0", "GNU Affero General Public License", "3"),
+        ]
+    ],
+    *[
+        (name, f"SPDX-License-Identifier: {name}", f"SPDX-License-Identifier: {name}")
+        for name in "MIT ISC Zlib Unlicense Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 MPL-2.0 EPL-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
+    ],
 ]
 
 
@@ -98,37 +124,58 @@ def frequencies(docs: DataFrame, ix: Index) -> np.ndarray:
     return out
 
 
-def findings(part: pa.Array, ix: Index, df: np.ndarray, min_score: float):
+def postings(ix: Index, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each licence word the templates it enters (offsets, template) and where it stands in them: each template is
+    entered by the rarest word of its key phrase, the first of equally rare ones."""
+    pos = np.array([min(range(lo, hi), key=lambda i: (df[tw[i]], i)) for tw, (lo, hi) in zip(ix.words, ix.key, strict=True)])
+    word = np.array([tw[i] for tw, i in zip(ix.words, pos, strict=True)])
+    order = np.argsort(word, kind="stable")
+    return np.searchsorted(word[order], np.arange(len(ix.vocab) + 1)), order, pos[order]
+
+
+def _agreeing(num, low, high, start, lo, n, flat, at) -> np.ndarray:
+    """How many of the words lo .. lo + n of each candidate's template (they begin at flat[at]) the file has in place."""
+    who = np.repeat(np.arange(len(start)), n)
+    i = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + lo[who]
+    p = start[who] + i
+    ok = (p >= low[who]) & (p < high[who])
+    same = ok & (num[np.where(ok, p, 0)] == flat[at[who] + i])
+    return np.bincount(who[same], minlength=len(start))
+
+
+def findings(part: pa.Array, ix: Index, df: np.ndarray, min_score: float, room: int = 1 << 18):
     """Row of part, template, first word, words that agree."""
     w = words(part)
     num = _numbers(w.h, ix.vocab)
-    doc = w.doc_of()
+    off, template, place = postings(ix, df)
+    flat, size = np.concatenate(ix.words), np.array([len(x) for x in ix.words])
+    begin, key = np.cumsum(size) - size, np.array(ix.key)
     hits = np.flatnonzero(num >= 0)
-    order = hits[np.argsort(num[hits], kind="stable")]
-    edges = np.searchsorted(num[order], np.arange(len(ix.vocab) + 1))
-    for t, (tw, (lo, hi)) in enumerate(zip(ix.words, ix.key, strict=True)):
-        enter = min(range(lo, hi), key=lambda i: (df[tw[i]], i))  # the rarest word of the key phrase
-        at = np.sort(order[edges[tw[enter]] : edges[tw[enter] + 1]])
-        start = at - enter
-        agree = np.zeros(len(at), np.int64)
-        key = np.ones(len(at), bool)
-        for i, x in enumerate(tw):
-            p = start + i
-            q = np.clip(p, 0, max(0, len(num) - 1))
-            same = (p >= 0) & (p < len(num)) & (num[q] == x) & (doc[q] == doc[at])
-            agree += same
-            if lo <= i < hi:
-                key &= same
-        ok = key & (agree >= min_score * len(tw) - 1e-9)
-        yield doc[at[ok]], np.full(ok.sum(), t), start[ok] - w.off[doc[at[ok]]], agree[ok]
+    hits = hits[off[num[hits] + 1] > off[num[hits]]]
+    doc = w.doc_of()
+    step = max(1, room // len(size))
+    for k in range(0, len(hits), step):
+        p = hits[k : k + step]
+        n = (off[num[p] + 1] - off[num[p]]).astype(np.int64)
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(off[num[p]], n)
+        p = np.repeat(p, n)
+        t, start = template[entry], p - place[entry]
+        low, high = w.off[doc[p]], w.off[doc[p] + 1]
+        lo, n = key[t, 0], key[t, 1] - key[t, 0]
+        ok = _agreeing(num, low, high, start, lo, n, flat, begin[t]) == n
+        t, start, low, high, p = t[ok], start[ok], low[ok], high[ok], p[ok]
+        agree = _agreeing(num, low, high, start, np.zeros(len(t), np.int64), size[t], flat, begin[t])
+        ok = agree >= min_score * size[t] - 1e-9
+        yield doc[p[ok]], t[ok], start[ok] - low[ok], agree[ok]
 
 
 def scan(docs: DataFrame, templates=None, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, licence, first_word (in normalised words; before the text, if it begins inside the notice),
     matched_words, score: every place of every document where a notice stands.
 
-    Null and empty texts have none; rows without doc_id are left out; each of repeated rows is scanned; extra columns
-    are ignored; an empty table gives no rows.
+    Templates are judged one by one, so a place where several stand (a header holds the notice it begins with) has a
+    row for each. Null and empty texts have none; rows without doc_id are left out; each of repeated rows is scanned;
+    extra columns are ignored; an empty table gives no rows.
     """
     docs = docs_of(docs)
     ix = index(templates)

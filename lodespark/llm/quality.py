@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespark.llm.common import docs_of
+from lodespark.llm.common import docs_of, free_name
 from lodespark.llm.textkernel import chunks, inside, ngrams, relieve, words
 
 BITS = 18
@@ -312,7 +312,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_F
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, toxic_from: float = TOXIC_FROM) -> DataFrame:
-    """The rows of docs that the rules accept, with their columns; rows without doc_id are judged by text alone."""
-    score = _scorer(docs.sparkSession, train(docs, labels))
-    out = docs.withColumn("__p", score(docs["text"].cast("string")))
-    return out.filter((F.round("__p.p_quality", 6) >= keep_from) & (F.round("__p.p_toxic", 6) < toxic_from)).drop("__p")
+    """The rows of docs that the rules accept, with their columns; rows without doc_id are judged by text alone.
+
+    Null texts and those without a word go, unless nothing could be learnt of quality; equal rows go or stay together; an
+    empty table stays empty.
+    """
+    score, p = _scorer(docs.sparkSession, train(docs, labels)), free_name(docs, "__p")
+    out = docs.withColumn(p, score(docs["text"].cast("string")))
+    return out.filter((F.round(F.col(p)["p_quality"], 6) >= keep_from) & (F.round(F.col(p)["p_toxic"], 6) < toxic_from)).drop(p)

@@ -72,3 +72,34 @@ def test_registered(spark):
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q and set(e.oracle_sql()) <= set(q)
+
+
+def edge_case_folder(spark, path, docs):
+    """A folder of the tables that run() reads, with these documents."""
+    docs.write.parquet(f"{path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{DIR}/{t}.parquet").write.parquet(f"{path}/{t}.parquet")
+    return str(path)
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Null, empty, repeated, very long rows, rows without an id, rows of one id, columns with clashing names."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    schema = docs.select("doc_id", "text").schema
+    long_ = " ".join(f"{w} and the" for w in "house river tree stone road field garden morning winter summer".split() for _ in range(9000))
+    some = docs.filter("lang = 'en' AND n_chars BETWEEN 500 AND 5000").orderBy("doc_id").first()
+    odd = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n"), (10**6 + 3, long_), (None, None), (None, "no id here"), (some.doc_id, some.text), (some.doc_id, "other words under the same id")]
+    more = spark.createDataFrame(odd, schema)
+    rows = docs.unionByName(more, allowMissingColumns=True).selectExpr("*", "1 AS ver", "2 AS __gone", "3 AS __p", "4 AS __cuts", "5 AS keep", "6 AS word", "7 AS grp", "8 AS bucket", "9 AS blob")
+    at = edge_case_folder(spark, tmp_path / "odd", rows)
+    step = spark.read.parquet(f"{at}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        before, step = step.count(), cp.cut(stage(spark, step, at))
+        assert step.columns == rows.columns and step.filter("ver <> 1 OR __gone <> 2 OR __p <> 3 OR __cuts <> 4 OR blob <> 9").count() == 0
+        assert 0 < step.count() <= before
+    got = cp.STAGES[-1][1](spark, step, at).select("doc_id").collect()
+    assert not {r.doc_id for r in got} & {10**6, 10**6 + 1, 10**6 + 2} and all(r.doc_id is not None for r in got)
+    at = edge_case_folder(spark, tmp_path / "none", docs.limit(0))
+    assert cp.run(spark, at).count() == 0

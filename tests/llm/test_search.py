@@ -106,3 +106,51 @@ def test_long_text():
     ix = licences.index()
     found = [x for row, k, s, m in licences.findings(pa.array([t]), ix, np.ones(len(ix.vocab)), 0.75) for x in s]
     assert found == [300_000]
+
+
+def brute_licences(rows, least=licences.MIN_SCORE):
+    out = []
+    for d, t in rows:
+        w = norm(t)
+        for name, notice, phrase in licences.TEMPLATES:
+            q, k = norm(notice), norm(phrase)
+            at = next(i for i in range(len(q)) if q[i : i + len(k)] == k)
+            for s in range(-len(q), len(w)):
+                same = [0 <= s + i < len(w) and w[s + i] == x for i, x in enumerate(q)]
+                if d is not None and all(same[at : at + len(k)]) and sum(same) >= least * len(q):
+                    out.append((d, name, s, sum(same)))
+    return sorted(out)
+
+
+def test_licences_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(120):
+        w = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(40))]
+        for _ in range(rng.randrange(3)):
+            q = norm(rng.choice(licences.TEMPLATES)[1])
+            for _ in range(rng.randrange(len(q) // 8 + 1)):
+                q[rng.randrange(len(q))] = rng.choice(["license", "the", "x"])
+            w[(p := rng.randrange(len(w) + 1)) : p] = q[rng.randrange(3) :]
+        rows.append((k, " ".join(w)))
+    rows += [rows[1], (200, None), (201, ""), (None, rows[1][1])]
+    got = sorted((r.doc_id, r.licence, r.first_word, r.matched_words) for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == brute_licences(rows) and len(got) > 25
+
+
+def test_common_headers(spark):
+    rows = [
+        (1, "# SPDX-License-Identifier: GPL-3.0-or-later"),
+        (2, 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
+        (3, "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version"),
+        (4, "the Free Software Foundation and the terms of a license"),
+    ]
+    got = sorted((r.doc_id, r.licence) for r in licences.scan(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(1, "GPL-3.0"), (2, "MIT"), (3, "GPL-2.0")]
+
+
+def test_decontaminate_judges_rows_not_ids(spark):
+    q = " ".join(f"q{k}" for k in range(15))
+    docs = spark.createDataFrame([(1, "x " + q), (1, "clean"), (1, "x " + q), (2, "one word")], DOCS)
+    bench = spark.createDataFrame([(7, q), (8, "WORD")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.decontaminate(docs, bench).collect()] == [(1, "clean")]
