@@ -10,12 +10,12 @@ from lodespark.llm.common import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the calibrated quality model accepts."""
+    """Documents that the calibrated models of quality and toxicity accept; null texts and those without a word go."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each connected group of near copies."""
+    """One document, that of the least doc_id, of each connected group of near copies; rows without an id stay."""
     return jaccard.keep_one(docs)
 
 
@@ -25,12 +25,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no verbatim match with a benchmark item."""
+    """Documents that hold no verbatim match with a benchmark item; rows without an id stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids, round_trip."""
+    """doc_id, n_tokens, token_ids, round_trip; rows without an id go."""
     return bpe.encode_documents(docs)
 
 
