@@ -4,6 +4,9 @@ Documents are sets of hashed word n-grams (64-bit fingerprints of normalised wor
 one n-gram of all its words, an empty one is the empty set and matches nothing). Equal texts are one class, joined once.
 The join is exact up to fingerprint collisions and has no cap on partners:
 
+0. A document that links to another has a share t of its tokens in it. Tokens are counted over all documents; those of
+   which a smaller share of tokens is in any other document are left out of all that follows. Tokens are counted by part
+   of their bits, and documents by part of theirs: what coincides there only keeps more documents.
 1. Tokens that HOT_DF documents or more have in their prefixes by hash order are counted over all documents; they come
    last in the global token order (hot, hash). Any order is correct; this one keeps passages that many documents share
    out of the prefixes. At most HOT_TOKENS, the most frequent, are kept, as they are broadcast; that changes only how
@@ -85,6 +88,67 @@ def _slices(batches):
     return eased(x.slice(i, BATCH_ROWS) for x in batches for i in range(0, x.num_rows, BATCH_ROWS))
 
 
+_TOKEN = [(np.uint8, 3), (np.uint32, 1)]
+
+
+def _three(x: np.ndarray) -> np.ndarray:
+    """Numbers under 2 ** 24 as their three bytes."""
+    return np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
+
+
+def _sharing(docs: DataFrame, n: int, t: float, bits: int) -> DataFrame:
+    """The docs (doc_id, text and other columns) that have a share t of their tokens, at least, in other documents."""
+    low, most = np.uint64(40 - bits), (1 << 24) - 1
+
+    def tokens(batches):
+        for b in _slices(batches):
+            num = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.uint64).astype(np.uint32)
+            cols: list[list] = [[], [], []]
+            for first, off, tok in token_sets(b.column("text"), n):
+                size, own = np.diff(off), num[first : first + len(off) - 1]
+                need = np.minimum(np.ceil(t * size - 1e-9), most).astype(np.int64)
+                some = size > 0
+                for c, x, y in zip(cols, ((tok >> np.uint64(64 - bits)).astype(np.int64), (tok >> low) & np.uint64(most), np.repeat(own, size)), ((1 << bits) + (own[some] & np.uint32((1 << bits) - 1)).astype(np.int64), need[some], own[some]), strict=True):
+                    c += [x, y.astype(x.dtype)]
+            if cols[0]:
+                yield by_bucket(np.concatenate(cols[0]), [_three(np.concatenate(cols[1])), np.concatenate(cols[2])])
+
+    def counts(batches):
+        def sums(held):
+            num, c = np.unique(np.concatenate(held), return_counts=True)
+            return by_bucket((num & np.uint32((1 << bits) - 1)).astype(np.int64), [num, c.astype(np.int32)])
+
+        held, size = [], 0
+        for key, low_, num in from_buckets(batches, _TOKEN, keyed=True):
+            x = np.zeros((len(num), 4), np.uint8)
+            x[:, :3] = low_
+            x = x.view("<u4").reshape(-1)
+            if key >> bits:  # what documents need
+                yield by_bucket((num & np.uint32((1 << bits) - 1)).astype(np.int64), [num, -x.astype(np.int32)])
+                continue
+            x = np.sort(x.astype(np.uint64) << np.uint64(32) | num)
+            same = (x[1:] >> np.uint64(32)) == (x[:-1] >> np.uint64(32))
+            held.append(x[np.append(same, False) | np.append(False, same)].astype(np.uint32))
+            size += len(held[-1])
+            if size > 1 << 22:
+                yield sums(held)
+                held, size = [], 0
+        if size:
+            yield sums(held)
+
+    def enough(batches):
+        for num, v in from_buckets(batches, [(np.uint32, 1), (np.int32, 1)]):
+            some, at = np.unique(num, return_inverse=True)
+            c = np.bincount(at, weights=np.maximum(v, 0), minlength=len(some))
+            need = np.full(len(some), most + 1)
+            np.minimum.at(need, at[v < 0], -v[v < 0])
+            yield pa.RecordBatch.from_arrays([pa.array(some[c >= need].astype(np.int64))], ["num"])
+
+    sent = docs.select("doc_id", "text").mapInArrow(tokens, "bucket long, blob binary").repartition("bucket")
+    found = cut(sent.mapInArrow(counts, "bucket long, blob binary").repartition("bucket").mapInArrow(enough, "num long"))
+    return docs.join(small(found, found.count(), 16), F.col("doc_id").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("num"), "left_semi")
+
+
 def _hot_tokens(docs: DataFrame, n: int, t: float, bits: int) -> np.ndarray:
     """The first 32 + bits bits of the hot tokens; what is hot depends on those alone."""
     low = np.uint64(32 - bits)
@@ -515,6 +579,7 @@ def _compared(texts: DataFrame, n: int, t: float, pairs: bool) -> DataFrame:
     spark = texts.sparkSession
     size = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     bits = max(8, min(16, (8 * size - 1).bit_length()), (size - 1).bit_length())
+    texts = cut(_sharing(texts, n, t, bits))
     hot = spark.sparkContext.broadcast(_hot_tokens(texts, n, t, bits))
     cells = in_blocks(_met(_postings(texts, n, t, bits, hot), t), BLOCK)
     return _verify(texts, cut(_shut(texts, cells, n, t)), n, t, pairs)

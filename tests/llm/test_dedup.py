@@ -96,6 +96,17 @@ def test_blocks_and_hot_tokens_lose_no_link(spark, corpus, monkeypatch, block, h
     assert near(make(spark, corpus)) == brute_classes(corpus, brute_links(corpus))[0]
 
 
+def test_documents_without_half_their_ngrams_elsewhere_stay_out_of_the_join(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = prose(rng, 20)
+    rows = [(k, " ".join(prose(rng, 30) + passage + prose(rng, 30))) for k in range(60)]
+    rows += [(60, " ".join(edited(rng, rows[0][1].split(), 0.03))), (61, "a b"), (62, "A b!"), (63, "a c")]
+    seen, met = [], jaccard._postings
+    monkeypatch.setattr(jaccard, "_postings", lambda docs, *more: seen.append(docs.count()) or met(docs, *more))
+    assert near(make(spark, rows)) == brute_classes(rows, [*brute_links(rows), (61, 62)])[0]
+    assert seen == [4]
+
+
 def test_near_copies_of_one_large_group(spark):
     """All rows in one group, many of them equal: links are counted, not listed."""
     rng = random.Random(3)
