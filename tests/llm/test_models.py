@@ -113,6 +113,39 @@ def test_seating_has_the_exact_conditional(c, p):
     assert (seats.size.reshape(n, c).sum(axis=1) == c).all()
 
 
+def tables_by_recursion(c, new, d=0.5):
+    """P(t) ~ S_d(c, t) new^t of one dish."""
+    ways = np.array([0.0, 1.0])
+    for k in range(1, c):
+        nxt = np.zeros(len(ways) + 1)
+        nxt[:-1] += ways * (k - d * np.arange(len(ways)))
+        nxt[1:] += ways
+        ways = nxt / nxt.sum()
+    p = ways * float(new) ** np.arange(len(ways))
+    return p / p.sum()
+
+
+def test_root_seats_all_customers_of_large_dishes():
+    """Half of the dishes have one customer, and so one table, half have 400, more than the 64 that were once seated."""
+    n = 2000
+    root = hpy.Root(np.arange(n, dtype=np.uint64), np.zeros(0), np.arange(n), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    customers = np.repeat([1, 400], n // 2)
+    p = hpy.seated_root(root, customers, np.random.default_rng(1), sweeps=60).p * (1 + customers.sum())
+    got = 1 + 2 * (399 - (p[n // 2 :].mean() - p[: n // 2].mean()))
+    want = 1.0
+    for _ in range(100):  # the weight of a new table follows from the number of tables
+        want = float(tables_by_recursion(400, 0.25 * (1 + want)) @ np.arange(401))
+    assert abs(got - want) < 0.05 * want and abs(p.sum() - (1 + customers.sum())) < 1e-6 * p.sum()
+
+
+@pytest.mark.parametrize("c,new", [(1, 2.0), (2, 0.3), (90, 0.01), (90, 5.0), (90, 400.0)])
+def test_root_tables_have_the_exact_conditional(c, new):
+    n = 20_000
+    t = hpy.root_tables(np.full(n, c), np.full(n, new), np.random.default_rng(c))
+    assert np.abs(np.bincount(t, minlength=c + 1) / n - tables_by_recursion(c, new)).max() < 0.015
+    assert hpy.root_tables(np.array([0, 10**9]), np.array([1.0, 1.0]), np.random.default_rng(1)).tolist()[0] == 0
+
+
 def test_predictions_sum_to_one():
     rng = np.random.default_rng(5)
     voc = hpy.mix(np.arange(1, 41, dtype=np.uint64))
