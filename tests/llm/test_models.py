@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from lodespark.llm import hpy, quality
+from lodespark.sources.shared import shuffled
 
 DOCS = "doc_id long, text string"
 
@@ -113,6 +114,33 @@ def test_seating_has_the_exact_conditional(c, p):
     assert (seats.size.reshape(n, c).sum(axis=1) == c).all()
 
 
+def test_tables_are_drawn_by_their_sizes():
+    """Two dishes side by side, of customers at tables of sizes 3, 1, 1 and 2, 4: weights size - d."""
+    n, d = 30_000, 0.8
+    seats = hpy.Seats(np.tile([5, 6], n), d, np.random.default_rng(2))
+    seats.tab[:] = np.tile([0, 3, 0, 4, 0, 1, 1, 0, 1, 0, 1], n)
+    seats.size[:] = np.tile([3, 0, 0, 1, 1, 2, 4, 0, 0, 0, 0], n)
+    got = (seats.drawn(seats.at[:-1], np.tile([5, 6], n)) - seats.at[:-1]).reshape(n, 2)
+    for k, want in enumerate([{0: 2.2 / 2.6, 3: 0.2 / 2.6, 4: 0.2 / 2.6}, {0: 1.2 / 4.4, 1: 3.2 / 4.4}]):
+        assert set(got[:, k].tolist()) == set(want)
+        assert all(abs((got[:, k] == t).mean() - p) < 0.01 for t, p in want.items())
+
+
+def test_large_dishes_keep_their_places():
+    """Dishes too large to be listed at once, beside small ones: no two tables at a place, none lost."""
+    rng = np.random.default_rng(4)
+    c = np.array([1, 2, 3, 150_000, 7])
+    seats = hpy.Seats(c, 0.8, rng)
+    seats.fill(c, np.full(5, 50.0))
+    for _ in range(3):
+        seats.sweep(np.full(5, 1e6), moves=200)
+        seats.bring(np.maximum(1, c - 1), np.full(5, 50.0))
+        seats.bring(c, np.full(5, 50.0))
+        for k, n in enumerate(c):
+            tab, size = seats.tab[seats.at[k] : seats.at[k] + n], seats.size[seats.at[k] : seats.at[k + 1]]
+            assert (np.bincount(tab, minlength=n) == size).all() and (size > 0).sum() == seats.t[k]
+
+
 def tables_by_recursion(c, new, d=0.5):
     """P(t) ~ S_d(c, t) new^t of one dish."""
     ways = np.array([0.0, 1.0])
@@ -251,3 +279,43 @@ def test_scores_of_edge_cases(spark, monkeypatch):
     held = hpy.score(docs.filter("doc_id BETWEEN 20 AND 29"), docs.filter("doc_id BETWEEN 1 AND 19")).collect()
     assert len(held) == 10 and max(r.perplexity for r in held) < 8
     assert hpy.score(docs.limit(0)).count() == 0 and hpy.score(docs.filter("doc_id = 201"), docs.limit(0)).first().n_words == 0
+
+
+@pytest.mark.parametrize("n,most", [(1, 30.0), (7, 30.0), (50, 3e9)])
+def test_sums_are_packed_small_and_whole(n, most):
+    rng = np.random.default_rng(n)
+    key = np.unique(np.concatenate([rng.integers(-(2**63), 2**63 - 1, 20_000), [-(2**63), -1, 0, 2**63 - 1]]))
+    key = key[rng.permutation(len(key))]
+    cost, words, rows = rng.random(len(key)) * most, 1 + rng.poisson(2.0, len(key)), rng.poisson(0.01, len(key))
+    cost[:2], words[0], rows[1] = (0, most), 70_000, 300
+    got = hpy._sums(key, cost, words, rows, n)
+    back = [hpy._summed(k, x.as_buffer(), n) for k, x in zip(got.column(0).to_pylist(), got.column(1), strict=True)]
+    k, c, w, r = (np.concatenate(x) for x in zip(*back, strict=True))
+    at, own = np.argsort(k), np.argsort(key)
+    assert (k[at] == key[own]).all() and (w[at] == words[own]).all() and (r[at] == rows[own]).all()
+    assert np.abs(c[at] - cost[own]).max() <= max(hpy.UNIT, np.spacing(most)) / 2
+    if most < 1e9:  # 24 bytes a row before
+        assert sum(len(pa.Codec("lz4_raw").compress(x.as_py(), asbytes=True)) for x in got.column(1)) < 15.5 * len(key)
+
+
+def test_both_rounds_read_one_shuffle(spark, monkeypatch):
+    made = []
+    postings = hpy._postings
+    monkeypatch.setattr(hpy, "_postings", lambda *a: made.append(a) or postings(*a))
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(30))) for k in range(20)], DOCS)
+    assert hpy.score(docs).count() == 20 and len(made) == 1
+    assert hpy.score(docs.filter("doc_id < 5"), docs.filter("doc_id >= 5")).count() == 5 and len(made) == 3
+
+
+def test_a_shuffle_is_written_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = shuffled(spark.range(100).mapInArrow(run, "id long").repartition(5, "id"))
+    assert df.count() == 100 and df.filter("id < 10").count() == 10 and df.agg({"id": "sum"}).first()[0] == 4950
+    assert seen.value == 100
