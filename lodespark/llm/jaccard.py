@@ -7,12 +7,14 @@ The join is exact up to fingerprint collisions and has no cap on partners:
 0. A document that links to another has a share t of its tokens in it. Tokens are counted over all documents; those of
    which a smaller share of tokens is in any other document are left out of all that follows. Tokens are counted by part
    of their bits, and documents by part of theirs: what coincides there only keeps more documents.
-1. Tokens that HOT_DF documents or more have in their prefixes by hash order are counted over all documents; they come
-   last in the global token order (hot, hash). Any order is correct; this one keeps passages that many documents share
+1. Tokens that HOT_DF documents or more have are counted over all documents; they come last in the global token order
+   (hot, hash). Any order is correct; this one keeps passages that many documents share
    out of the prefixes. At most HOT_TOKENS, the most frequent, are kept, as they are broadcast; that changes only how
    many documents are looked at, not the result.
-2. A document's group is the first token of its prefix that is hot or in another document of its batch too (the very
-   first, if there is none), so copies, and documents that share a passage, tend to share a group. The token-group
+2. A document's group is the first hot token of its prefix, else the first that is in another document of its batch too,
+   else the very first, so copies, and documents that share a passage, tend to share a group. Groups are ordered by how
+   frequent their token is, and documents ask greater groups: the few of a cluster of near copies that chance tokens lead
+   elsewhere ask the cluster's group, and not the whole cluster each of them. The token-group
    matrix holds, for each prefix token, the groups having it, with the sizes of their members. It is cut into buckets
    of tokens; a bucket sees documents and groups together, so one shuffle of packed postings builds and probes it. A
    pair with Jaccard >= t shares a token of its prefixes, so a document can only match groups that its prefix meets.
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.llm.common import cut, docs_of, free_name, small
-from lodespark.llm.textkernel import by_bucket, chunks, eased, from_buckets, grouped, inside, mix, ngrams, relieve, words
+from lodespark.llm.textkernel import by_bucket, chunks, eased, expand, from_buckets, grouped, inside, mix, ngrams, relieve, words
 
 N_WORDS = 3
 THRESHOLD = 0.5
@@ -149,13 +151,14 @@ def _sharing(docs: DataFrame, n: int, t: float, bits: int) -> DataFrame:
     return docs.join(small(found, found.count(), 16), F.col("doc_id").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("num"), "left_semi")
 
 
-def _hot_tokens(docs: DataFrame, n: int, t: float, bits: int) -> np.ndarray:
-    """The first 32 + bits bits of the hot tokens; what is hot depends on those alone."""
+def _hot_tokens(docs: DataFrame, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 32 + bits bits of the hot tokens, sorted; what is hot depends on those alone. And how frequent each is: 1
+    to 15, by powers of two."""
     low = np.uint64(32 - bits)
 
     def local(batches):
         for b in _slices(batches):
-            tok = np.concatenate([x[_prefix(off, t)[1]] for _, off, x in token_sets(b.column("text"), n)] or [np.zeros(0, np.uint64)])
+            tok = np.concatenate([x for _, _, x in token_sets(b.column("text"), n)] or [np.zeros(0, np.uint64)])
             yield by_bucket((tok >> np.uint64(64 - bits)).astype(np.int64), [(tok >> low).astype(np.uint32)])
 
     def frequent(batches):
@@ -167,8 +170,11 @@ def _hot_tokens(docs: DataFrame, n: int, t: float, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(tok[at][keep].astype(np.int64) + (key << 32)), pa.array(c[keep])], ["token", "c"])
 
     counts = docs.select("text").mapInArrow(local, "bucket long, blob binary").repartition("bucket").mapInArrow(frequent, "token long, c long")
-    got = cut(counts).orderBy(F.desc("c"), "token").limit(HOT_TOKENS).select("token").toArrow().column(0).to_numpy()
-    return np.sort(got.astype(np.uint64))
+    level = F.least(F.floor(F.log2("c")), F.lit(15)).cast("byte")
+    got = cut(counts).orderBy(F.desc("c"), "token").limit(HOT_TOKENS).select("token", level.alias("level")).toArrow()
+    tok, level = got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy().astype(np.uint8)
+    order = np.argsort(tok)
+    return tok[order], level[order]
 
 
 def _among(tok: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -196,11 +202,23 @@ def _ends(off: np.ndarray, who: np.ndarray, tok: np.ndarray, late: np.ndarray, t
     return end, np.where(stop == _OPEN, take, ~late & (at <= 0.0625 + stop / 8))
 
 
+def _leads(row: np.ndarray, tok: np.ndarray, lead: list[np.ndarray]) -> np.ndarray:
+    """For each token, where the token is that leads its document's group: the document's first of lead[0], else of
+    lead[1], .., else its first."""
+    at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    out = at
+    for some in reversed(lead):
+        first = np.minimum.reduceat(np.where(some, np.arange(len(tok)), len(tok)), at)
+        out = np.where(first == len(tok), out, first)
+    return np.repeat(out, np.diff(np.append(at, len(row))))
+
+
 def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
-    """Packed prefix postings (document, token, group, size, end of the prefix) by bucket of tokens."""
+    """Packed prefix postings (document, token, group, size, end of the prefix) by bucket of tokens. The first four bits of
+    a group are how frequent its token is, if it is hot."""
 
     def run(batches):
-        heavy, low = hot.value, np.uint64(32 - bits)
+        (heavy, much), low = hot.value, np.uint64(32 - bits)
         for b in _slices(batches):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             cols: list[list] = [[], [], [], []]
@@ -221,12 +239,12 @@ def _postings(docs: DataFrame, n: int, t: float, bits: int, hot) -> DataFrame:
             row, tok, level, end = (np.concatenate(c) for c in cols)
             key = np.sort(tok)
             common = key[1:][key[1:] == key[:-1]]
-            at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            shared = _among(tok, common[np.concatenate([[True], common[1:] != common[:-1]])] if len(common) else common) | _among(tok >> low, heavy)
-            lead = np.where(shared, np.arange(len(tok)), len(tok))
-            lead = np.minimum.reduceat(lead, at)
-            lead = np.where(lead == len(tok), at, lead)
-            grp = np.repeat((mix(tok[lead]) & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.diff(np.append(at, len(row))))
+            common = common[np.concatenate([[True], common[1:] != common[:-1]])] if len(common) else common
+            is_hot = _among(tok >> low, heavy)
+            lead = _leads(row, tok, [is_hot, _among(tok, common)])
+            grp = (mix(tok[lead]) & np.uint64((1 << 28) - 1)).astype(np.uint32)
+            by_hot = is_hot[lead]
+            grp[by_hot] |= much[np.searchsorted(heavy, tok[lead[by_hot]] >> low)].astype(np.uint32) << np.uint32(28)
             yield by_bucket((tok >> np.uint64(64 - bits)).astype(np.int64), [ids[row], tok, grp, level, end])
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, blob binary")
@@ -445,16 +463,26 @@ def _runs(grp: np.ndarray, role: np.ndarray, ids: np.ndarray) -> Iterator[np.nda
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray], block: int = 512, width: int = 8192) -> np.ndarray:
-    """|x & y| for each x of a and y of b."""
+    """|x & y| for each x of a and y of b: tokens that many have by products of 0/1 matrices, the others pair by pair."""
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     flat, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
     ia, ib = np.repeat(np.arange(len(a)), la), np.repeat(np.arange(len(b)), lb)
     ca, cb = at[: la.sum()], at[la.sum() :]
-    both = (np.bincount(ca, minlength=len(flat)) > 0) & (np.bincount(cb, minlength=len(flat)) > 0)
+    na, nb = np.bincount(ca, minlength=len(flat)), np.bincount(cb, minlength=len(flat))
+    out = np.zeros((len(a), len(b)), np.float32)
+    few = na * nb <= len(a) * len(b) // 256  # tokens whose pairs cost less than a column of the products
+    order, start = np.argsort(cb, kind="stable"), np.cumsum(nb) - nb
+    rare = np.flatnonzero(few[ca] & (nb[ca] > 0))
+    ends, i = np.cumsum(nb[ca[rare]]), 0
+    while i < len(rare):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), side="right")))
+        c = ca[rare[i:j]]
+        np.add.at(out.reshape(-1), np.repeat(ia[rare[i:j]], nb[c]) * len(b) + ib[order[expand(start[c], nb[c])]], np.float32(1))
+        i = j
+    both = (na > 0) & (nb > 0) & ~few
     new = np.cumsum(both) - 1
     ka, kb = both[ca], both[cb]
     ia, ca, ib, cb, k = ia[ka], new[ca[ka]], ib[kb], new[cb[kb]], int(both.sum())
-    out = np.zeros((len(a), len(b)), np.float32)
     for c in range(0, k, width):
         w = min(width, k - c)
         sa, sb = (ca >= c) & (ca < c + w), (cb >= c) & (cb < c + w)
@@ -580,7 +608,7 @@ def _compared(texts: DataFrame, n: int, t: float, pairs: bool) -> DataFrame:
     size = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     bits = max(8, min(16, (8 * size - 1).bit_length()), (size - 1).bit_length())
     texts = cut(_sharing(texts, n, t, bits))
-    hot = spark.sparkContext.broadcast(_hot_tokens(texts, n, t, bits))
+    hot = spark.sparkContext.broadcast(_hot_tokens(texts, n, bits))
     cells = in_blocks(_met(_postings(texts, n, t, bits, hot), t), BLOCK)
     return _verify(texts, cut(_shut(texts, cells, n, t)), n, t, pairs)
 

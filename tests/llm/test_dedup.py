@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from lodespark.llm import jaccard, substring
 
@@ -115,6 +116,25 @@ def test_near_copies_of_one_large_group(spark):
     assert near(make(spark, rows)) == brute_classes(rows, brute_links(rows))[0]
 
 
+def test_a_cluster_costs_cells_in_proportion_to_its_size(spark, monkeypatch):
+    """Each near copy shares its last words with one other; those two must not be a group that the whole cluster asks."""
+    rng = random.Random(12)
+    base, asides = prose(rng, 120), [prose(rng, 6) for _ in range(100)]
+    rows = [(k, " ".join(edited(rng, base, 0.02) + asides[k // 2])) for k in range(200)]
+    seen, whole = [], jaccard.in_blocks
+    monkeypatch.setattr(jaccard, "in_blocks", lambda cells, block: seen.append(cells.count()) or whole(cells, block))
+    assert near(make(spark, rows)) == brute_classes(rows, brute_links(rows))[0]
+    assert seen[0] < 10 * len(rows)
+
+
+def test_overlaps_of_rare_and_frequent_tokens():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([rng.integers(0, 30, 25), rng.integers(30, 4000, 200)])).astype(np.uint64) for _ in range(90)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[:70]] for x in sets]
+    assert jaccard._overlaps(sets, sets[:70]).tolist() == want
+    assert jaccard._overlaps(sets[:2], sets[5:6]).tolist() == [[len(np.intersect1d(x, sets[5]))] for x in sets[:2]]
+
+
 def test_near_copies_edge_cases(spark):
     assert near(make(spark, [])) == [] and jaccard.jaccard_pairs(make(spark, [])).count() == 0
     same = make(spark, [(1, "a b"), (1, "a b"), (2, "A, b!"), (3, "a b c"), (4, None), (5, None), (6, ""), (7, ""), (None, "a b")])
