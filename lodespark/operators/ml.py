@@ -49,7 +49,10 @@ def scored(model: Pipeline, train: DataFrame, test: DataFrame, label: str = "lab
 
 def out_of_fold(df: DataFrame, model: Pipeline, key: str, label: str = "label", k: int = 5) -> DataFrame:
     """df with the score of each row under the model fitted to the other folds."""
-    parts = cut(folds(df, label, key, k))
+    return _held_out(cut(folds(df, label, key, k)), model, label, k)
+
+
+def _held_out(parts: DataFrame, model: Pipeline, label: str, k: int) -> DataFrame:
     out = None
     for i in range(k):
         one = scored(model, parts.filter(F.col("fold") != i), parts.filter(F.col("fold") == i), label)
@@ -58,9 +61,9 @@ def out_of_fold(df: DataFrame, model: Pipeline, key: str, label: str = "label",
 
 
 def fold_auc(df: DataFrame, models: dict[str, Pipeline], key: str, label: str = "label", k: int = 5) -> DataFrame:
-    """model, auc, n: out-of-fold AUC of each model."""
-    out = None
+    """model, auc, n: out-of-fold AUC of each model. The features are computed and dealt to folds once for all models."""
+    parts, out = cut(folds(df, label, key, k)), None
     for name, m in models.items():
-        one = out_of_fold(df, m, key, label, k).select(F.lit(name).alias("model"), F.col(label).cast("int").alias("y"), "score")
+        one = _held_out(parts, m, label, k).select(F.lit(name).alias("model"), F.col(label).cast("int").alias("y"), "score")
         out = one if out is None else out.unionByName(one)
     return auc_by(out, ["model"], "y", "score").select("model", "auc", (F.col("n_pos") + F.col("n_neg")).alias("n"))

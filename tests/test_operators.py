@@ -141,3 +141,11 @@ def test_models(spark):
     df = spark.range(120).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") % 10 != 3, F.col("id") % 2 + F.col("id") % 3 / 4).alias("x"))
     r = ml.fold_auc(df, {"lr": ml.logistic(["x"])}, "k").first()
     assert r.n == 120 and r.auc > 0.8
+
+
+def test_all_models_share_folds(spark, monkeypatch):
+    df = spark.range(60).select(F.col("id").alias("k"), (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") * 7 % 11).cast("double").alias("x"))
+    dealt, whole = [], ml.folds
+    monkeypatch.setattr(ml, "folds", lambda *a: dealt.append(a) or whole(*a))
+    got = ml.fold_auc(df, {"a": ml.logistic(["x"]), "b": ml.logistic(["x"])}, "k", k=2).collect()
+    assert len(dealt) == 1 and len({(r.auc, r.n) for r in got}) == 1 and len(got) == 2
